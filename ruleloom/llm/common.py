@@ -54,3 +54,15 @@ def text_or_empty(text_col: str) -> Column:
 
 def power_of_two(n: float, least: int, most: int) -> int:
     return int(min(most, max(least, 1 << max(0, math.ceil(math.log2(max(n, 1)))))))
+
+
+#: A side of a join is broadcast only if its counted rows take no more.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Marks df for broadcast if its rows, counted here, fit BROADCAST_BYTES; else Spark shuffles both sides.
+
+    df should be a written table, as it is counted and then read again.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

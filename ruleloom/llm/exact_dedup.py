@@ -63,10 +63,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = probed.where(~F.col("_maybe")).select(
         "_id", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    maybe = probed.where("_maybe")
-    groups = maybe.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    one = Window.partitionBy("_sha", "_id").orderBy("_id")
-    met = maybe.withColumn("_row", F.row_number().over(one)).join(groups, "_sha")
+    # rows that agree in digest and id come as one row with their number, then groups over these
+    same = scratch(probed.where("_maybe").groupBy("_sha", "_id").agg(F.count("*").alias("_n")), "maybe")
+    groups = scratch(same.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.sum("_n").alias("group_size")), "groups")
+    met = same.join(groups, "_sha").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
     met = met.withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_row") == 1))
     out = alone.unionByName(met.select(alone.columns))
     return out.select(

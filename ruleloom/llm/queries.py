@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ruleloom.llm.common import documents, small_batches
 from ruleloom.llm.exact_dedup import exact_groups
 from ruleloom.llm.fingerprints import fingerprints
+from ruleloom.llm.lm import score
 from ruleloom.llm.mixing import mix
+from ruleloom.llm.ngram_join import ngram_components
 from ruleloom.llm.packing import pack, pieces
+from ruleloom.llm.quality import classify
 from ruleloom.llm.sharding import shard
+from ruleloom.llm.substring_dedup import dedup
 from ruleloom.llm.token_counts import count_tokens
 
 
@@ -21,6 +25,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_components(documents(spark, sf_dir), n=3, num=90, den=100).drop("keep")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=8)
 
@@ -44,6 +58,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return score(documents(spark, sf_dir))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return dedup(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -58,6 +82,10 @@ FROM n
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_sharding, op5_fingerprints, op6_packing, op7_mixing, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_ngram_join, op3_quality, op4_sharding, op5_fingerprints, op6_packing, op7_mixing, op8_lm_score,
+        op9_substring_dedup, op10_exact_dedup,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
