@@ -64,17 +64,19 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     overfull = [r for r, (b, _) in stats.items() if b > 2 * mean]
     heavy = rows.where(F.col("_range").isin(overfull)).groupBy("_range", "_key").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
     heavy = heavy.where(F.col("b") > mean / 2).collect() if overfull else []  # at most two for each mean range
-    # (range, key or None, parts, bytes of a part)
+    # by range and key (None: all others of the range): parts and bytes
     units = {(r, None): [1, b] for r, (b, _) in stats.items()}
     for r, key, b, c in heavy:
         units[r, None][1] -= b
-        units[r, key] = [1 if b <= total / shards / 2 else int(min(c, -(-b // mean))), b]
+        units[r, key] = [int(min(c, -(-b // mean))), b]
     load, home = [0.0] * shards, {}
-    for (r, key), (parts, b) in sorted(units.items(), key=lambda x: (-x[1][1] / x[1][0], x[0][0], x[0][1] or 0)):
+    together = {u: b <= total / shards / 2 for u, (_, b) in units.items()}
+    for u, (parts, b) in sorted(units.items(), key=lambda x: (-x[1][1] / (1 if together[x[0]] else x[1][0]), x[0][0], x[0][1] or 0)):
         for part in range(parts):
-            s = min(range(shards), key=lambda i: (load[i], i))
+            # parts of a text that fits half a shard stay in one; they are apart only as tasks
+            s = home[(*u, 0)] if part and together[u] else min(range(shards), key=lambda i: (load[i], i))
             load[s] += b / parts
-            home[r, key, part] = s
+            home[(*u, part)] = s
     whole = spark.createDataFrame([(r, s) for (r, key, _), s in home.items() if key is None] or [(-1, 0)], "_range int, _whole int")
     own = spark.createDataFrame([(key, units[r, key][0], p, s) for (r, key, p), s in home.items() if key is not None], "_key long, _parts int, _part int, _own int")
     # hot keys are few, at most two for each range, so all three tables are of bounded size
