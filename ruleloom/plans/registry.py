@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ruleloom.plans import corpus_queries, table_queries
+
+QUERIES = {**corpus_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+    """For each document: revisions that are material, editorial or undecided."""
+    return QUERIES["funnel"](spark, sf_dir)
