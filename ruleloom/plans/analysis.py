@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,11 +21,15 @@ from ruleloom.sources import markup
 
 @dataclass
 class Analysis:
-    """meta: as records.meta() gives it; projected: as markup.project() gives it (best a written table)."""
+    """meta: as records.meta() gives it; projected: as markup.project() gives it (best a written table).
+
+    store, such as session.written, keeps the steps that several others read; without it all is one lazy plan.
+    """
 
     meta: DataFrame
     projected: DataFrame
     convention: V.Convention = V.CONVENTIONS[0]
+    store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Analysis:
 
     @cached_property
     def sections(self) -> DataFrame:
-        return S.sections(self.elements, self.doc_text)
+        return self.store(S.sections(self.elements, self.doc_text), "sections")
 
     @cached_property
     def paragraphs(self) -> DataFrame:
@@ -74,12 +79,12 @@ class Analysis:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return R.classified(E.revisions(E.group_edits(self.edits, self.doc_text), self.sections, self.doc_text))
+        return self.store(R.classified(E.revisions(E.group_edits(self.edits, self.doc_text), self.sections, self.doc_text)), "classified")
 
     @cached_property
     def blocks(self) -> DataFrame:
         own = self.sections.join(self.known, "doc_id", "left_semi")
-        return G.blocks(own, self.doc_text, self.paragraphs, self.convention)
+        return self.store(G.blocks(own, self.doc_text, self.paragraphs, self.convention), "blocks")
 
     @cached_property
     def deadlines(self) -> DataFrame:

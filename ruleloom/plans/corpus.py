@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.plans.analysis import Analysis
+from ruleloom.session import written
 from ruleloom.sources import markup
 
 KINDS = 10
@@ -85,7 +86,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
         "doc_id", F.lit(AGENCY).alias("agency"), F.array(F.lit("Energy Department")).alias("agencies"), F.lit("final").alias("status"),
         F.col("day").alias("publication_date"), F.lit(None).cast("date").alias("effective_on"),
     )
-    return Analysis(meta, markup.project(docs))
+    return Analysis(meta, written(markup.project(docs), "projected"), store=written)
 
 
 def kind_sql(style: str) -> str:
