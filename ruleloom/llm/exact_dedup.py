@@ -79,10 +79,11 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     digests = scratch(df.select(_digest(text_col).alias("_sha")), "digests")
     bits = power_of_two(BITS_PER_ROW * digests.count(), 1 << 15, MAX_BITS)
     table = scratch(repeated_filter(digests, "_sha", bits), "filter")
-    probed = _probe(df.withColumn("_sha", _digest(text_col)), "_sha", table, bits)
+    whole = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_id"), _digest(text_col).alias("_sha"))
+    probed = _probe(whole, "_sha", table, bits)
     maybe = probed.where("_maybe")
-    first = maybe.groupBy("_sha").agg(F.min(id_col).alias("_keep"))
-    met = maybe.join(first, "_sha").where(F.col(id_col).eqNullSafe(F.col("_keep")))
-    one = Window.partitionBy("_sha").orderBy(id_col)  # the rows left are those with the smallest id
+    first = maybe.groupBy("_sha").agg(F.min("_id").alias("_keep"))
+    met = maybe.join(first, "_sha").where(F.col("_id").eqNullSafe(F.col("_keep")))
+    one = Window.partitionBy("_sha").orderBy("_id")  # the rows left are those with the smallest id
     met = met.withColumn("_row", F.row_number().over(one)).where("_row = 1")
-    return probed.where(~F.col("_maybe")).select(df.columns).unionByName(met.select(df.columns))
+    return probed.where(~F.col("_maybe")).select("_whole.*").unionByName(met.select("_whole.*"))

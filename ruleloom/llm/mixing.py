@@ -184,12 +184,12 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     plan = mix(df, id_col, text_col, source_col, **options).where("whole > 0 or part > 0")
     plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(F.struct("whole", "part")).alias("_plan"))
-    keyed = df.withColumn("_key", F.xxhash64(F.col(text_col)))
-    met = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))
+    keyed = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_key"))
+    met = keyed.join(plan, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))
     times = F.col("_plan.whole") + F.when(F.col("_plan.part") > 0, 1).otherwise(0)
     met = met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    cut = F.col("_n") > F.col("_plan.whole")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_plan.part").cast("int")), "")).otherwise(F.col(text_col))
-    own = {text_col: text} | ({length_col: F.when(cut, F.length(text)).otherwise(F.col(length_col)).cast(df.schema[length_col].dataType)} if length_col else {})
-    return met.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in df.columns])
+    cut, whole = F.col("_n") > F.col("_plan.whole"), F.col("_whole")
+    words = F.regexp_extract_all(whole[text_col], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_plan.part").cast("int")), "")).otherwise(whole[text_col])
+    own = {text_col: text} | ({length_col: F.when(cut, F.length(text)).otherwise(whole[length_col]).cast(df.schema[length_col].dataType)} if length_col else {})
+    return met.select(*[own.get(c, whole[c]).alias(c) for c in df.columns])

@@ -6,7 +6,8 @@ linear time by the identity 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 It is fitted on at most SAMPLE labelled rows, drawn by hash, in one task; the model's size is fixed. Every row is then
 scored on its whole text in one pass without a shuffle. A null text counts as empty; such texts get the score that
-their statistics give. Without usable labels every score is 0.5. Equal texts have equal scores.
+their statistics give. Without usable labels every score is 0.5, and with
+one label only all scores are equal. Equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -96,12 +97,13 @@ def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, of: np.ndarray, i: np.
 def fit(texts_of: np.ndarray, i: np.ndarray, x: np.ndarray, labels: np.ndarray, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
     """Mini-batch AdaGrad on the logistic loss; the features of text t are those with texts_of == t, in order."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(SIZE), rng.normal(0, 0.02, (RANK, SIZE))
     mean = labels.mean() if len(labels) else 0.5
+    both = len(labels) > 0 and 0 < mean < 1
+    w, v = np.zeros(SIZE), rng.normal(0, 0.02, (RANK, SIZE)) * both
     bias = float(np.log(max(mean, 1e-3) / max(1 - mean, 1e-3)))
     gw, gv, gb = np.full(SIZE, 1e-2), np.full((RANK, SIZE), 1e-2), 1e-2
     first = np.searchsorted(texts_of, np.arange(len(labels) + 1))
-    for _ in range(EPOCHS if 0 < mean < 1 else 0):
+    for _ in range(EPOCHS if both else 0):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -193,5 +195,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, with their columns as they were."""
     model = train(docs, labels.where(~held_out(id_col)), id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__score", score(docs, model, text)).where(F.col("__score") >= threshold).select(docs.columns)
+    whole = docs.select(F.struct("*").alias("_whole"), score(docs, model, F.coalesce(F.col(text_col), F.lit(""))).alias("_score"))
+    return whole.where(F.col("_score") >= threshold).select("_whole.*")
