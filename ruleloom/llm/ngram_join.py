@@ -25,21 +25,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import broadcast_if_small, power_of_two, scratch
+from ruleloom.llm.common import broadcast_if_small, scratch
 from ruleloom.llm.components import components
 from ruleloom.llm.text_arrays import encoded, mix, word_hashes
 
 U = np.uint64
-#: Bytes of the sketch, a counter each; its size is bounded, so it may be broadcast (as one bit a cell).
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 26
+#: Bytes of each task's sketch, a counter each; its size is fixed, so it may be broadcast (as one bit a cell).
+CELLS = 1 << 22
 BLOCK = 1 << 16
 #: A cell is crowded from so many above twice the mean on. This sets the order's quality, not the result.
-CROWDED = 16
+CROWDED = 8
 #: Larger buckets are searched by a hub and components.
-LARGE = 64
+LARGE = 16
+#: So many shingles that recur in prefixes are sent to the workers as a sorted array; more are joined instead.
+SENT = 8 << 20
 #: Sets of a group that stay together.
 GROUP = 16
-WORDS = 16  # 64-bit words of a signature
+#: 64-bit words of a signature at least; a larger set has as many bits as shingles, rounded up to a power of two.
+WORDS = 16
+FOLDED = 4  # words of its short form
+#: A block's counts are added up in so many parts first.
+PARTS = 16
 
 
 def shingles(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -82,19 +88,22 @@ def _crowded_cells(texts: DataFrame, n: int, cells: int) -> np.ndarray:
             cell, c = np.unique(at.astype(np.int64), return_counts=True)
             total[cell] = np.minimum(255, total[cell].astype(np.int64) + c)  # what is crowded stays so
         blocks = total.reshape(-1, BLOCK)
-        yield pd.DataFrame({"block": np.arange(len(blocks)), "part": TaskContext.get().partitionId() % 256, "counts": [x.tobytes() for x in blocks]})
+        yield pd.DataFrame({"block": np.arange(len(blocks)), "part": TaskContext.get().partitionId() % PARTS, "counts": [x.tobytes() for x in blocks]})
+
+    def total_of(rows: pd.DataFrame, kind: type) -> np.ndarray:
+        return sum(np.frombuffer(x, kind).astype(np.uint32) for x in rows["counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint8 if len(x) == BLOCK else np.uint32).astype(np.uint32) for x in rows["counts"])
+        total = np.minimum(total_of(rows, np.uint8), 65535).astype(np.uint16)
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [total.tobytes()]})
 
     def crowd(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(add(rows)["counts"][0], np.uint32)
+        total = total_of(rows, np.uint16)
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [np.packbits(total > CROWDED + 2 * total.mean()).tobytes()]})
 
     kind = "block long, counts binary"
     parts = texts.mapInPandas(count, "block long, part int, counts binary")
-    sums = parts.groupBy("block", "part").applyInPandas(add, kind)  # so that no group holds over 256 rows
+    sums = parts.groupBy("block", "part").applyInPandas(add, kind)  # a block's counts meet in two steps
     bits = dict(map(tuple, sums.groupBy("block").applyInPandas(crowd, kind).collect()))
     empty = bytes(BLOCK // 8)
     return np.unpackbits(np.frombuffer(b"".join(bytes(bits.get(i, empty)) for i in range(cells // BLOCK)), np.uint8)).astype(bool)
@@ -108,7 +117,7 @@ def _described(rows: DataFrame, kind: str, n: int, num: int, den: int, crowded:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            size, digest, prefix, signature = [], [], [], []
+            size, digest, prefix, signature, fold = [], [], [], [], []
             for s in shingles(encoded(batch["_text"]), n):
                 k = len(s)
                 last = late[(s >> shift).astype(np.int64)]
@@ -116,19 +125,39 @@ def _described(rows: DataFrame, kind: str, n: int, num: int, den: int, crowded:
                 size.append(k)
                 digest.append(_digest(s))
                 prefix.append(order[: k + (-num * k // den) + 1 if k else 0].view(np.int64))
-                parity = np.bincount((s >> U(54)).astype(np.int64), minlength=64 * WORDS) & 1
-                signature.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"_id": batch["_id"], "n": size, "set": digest, "prefix": prefix, "sig": signature})
+                signature.append(_parity(s, max(64 * WORDS, 1 << max(0, k - 1).bit_length())))
+                fold.append(_parity(s, 64 * FOLDED))
+            yield pd.DataFrame({"_id": batch["_id"], "n": size, "set": digest, "prefix": prefix, "sig": signature, "fold": fold})
 
-    return rows.mapInPandas(describe, f"_id {kind}, n int, set binary, prefix array<long>, sig array<long>")
+    return rows.mapInPandas(describe, f"_id {kind}, n int, set binary, prefix array<long>, sig array<long>, fold array<long>")
 
 
-def _near(num: int, den: int) -> str:
-    """Whether sizes and signatures allow the threshold: the parities differ in at most as many bits as the sets do."""
-    bits = " + ".join(f"bit_count(sig_a[{i}] ^ sig_b[{i}])" for i in range(WORDS))
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """For each bit whether an odd number of shingles falls on it; halves xor-ed together give the form of half the bits."""
+    at = (s & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _fold_near(num: int, den: int) -> str:
+    """Whether the short signatures allow the threshold: parities differ in at most as many bits as the sets do."""
+    bits = " + ".join(f"bit_count(fold_a[{i}] ^ fold_b[{i}])" for i in range(FOLDED))
     return f"({den} + {num}) * ({bits}) <= ({den} - {num}) * (n_a + n_b)"
 
 
+def _near(num: int, den: int) -> str:
+    """The same by the full signatures; of two lengths, the longer one is folded."""
+    least = "least(size(sig_a), size(sig_b))"
+    a, b = (f"if(size(sig_{x}) > {least}, zip_with(slice(sig_{x}, 1, {least}), slice(sig_{x}, {least} + 1, {least}), (p, q) -> p ^ q), sig_{x})" for x in "ab")
+    bits = f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (m, x) -> m + x)"
+    far = "size(sig_a) > 2 * size(sig_b) or size(sig_b) > 2 * size(sig_a)"
+    return f"({_fold_near(num, den)} and ({far} or ({den} + {num}) * {bits} <= ({den} - {num}) * (n_a + n_b)))"
+
+
+def _maybe_near(num: int, den: int) -> str:
+    """The short form's answer; groups of several sets have none."""
+    return f"(fold_a is null or fold_b is null or {_fold_near(num, den)})"
+
+
 def _sizes(num: int, den: int) -> str:
     return f"{num} * greatest(n_a, n_b) <= {den} * least(n_a, n_b)"
 
@@ -137,34 +166,56 @@ def _side(df: DataFrame, side: str, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "token" else f"{c}_{side}") for c in names])
 
 
+def _recurring(often: DataFrame):
+    """Filters an array of shingles to those of a bounded table."""
+    keys = np.sort(often.select("token").toArrow()["token"].to_numpy())
+    shared = often.sparkSession.sparkContext.broadcast(keys)
+
+    @F.pandas_udf("array<long>")
+    def keep(prefixes: pd.Series) -> pd.Series:
+        known, out = shared.value, []
+        for p in prefixes:
+            at = np.minimum(np.searchsorted(known, p), max(0, len(known) - 1))
+            out.append(p[known[at] == p] if len(known) else p[:0])
+        return pd.Series(out)
+
+    return keep
+
+
 class _Join:
     def __init__(self, rows: DataFrame, described: DataFrame, n: int, num: int, den: int) -> None:
-        self.rows, self.n, self.num, self.den = rows, n, num, den
-        sets = described.where("n > 0").groupBy("set").agg(
-            F.min("_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")
-        )
-        self.sets = scratch(sets.withColumn("key", F.xxhash64("n", "prefix")), "sets")
-        crowd = self.sets.groupBy("key").agg(F.count("*").alias("k")).where(f"k > {2 * GROUP}")
-        dealt = self.sets.join(crowd, "key", "left")
+        self.rows, self.described, self.n, self.num, self.den = rows, described.where("n > 0"), n, num, den
+        # equal sets fall together in collect_set, before the shuffle where they can
+        crowd = self.described.select("key", "set").distinct().groupBy("key").agg(F.count("*").alias("k")).where(f"k > {2 * GROUP}")
+        dealt = self.described.join(broadcast_if_small(scratch(crowd, "crowd"), 32), "key", "left")
         deal = F.coalesce(F.pmod(F.xxhash64("set"), F.ceil(F.col("k") / GROUP)), F.lit(0))
-        groups = dealt.groupBy("key", "n", "prefix", deal.alias("deal")).agg(
-            F.min("set").alias("node"), F.collect_list(F.struct("set", "sig")).alias("members")
-        )
-        self.groups = scratch(groups.select("node", "n", "prefix", "members"), "groups")
-        tokens = self.groups.select("node", "n", F.explode("prefix").alias("token"))
-        often = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-        self.tokens = scratch(tokens.join(often, "token"), "tokens")
+        groups = dealt.groupBy("key", "n", "prefix", deal.alias("deal")).agg(F.collect_set(F.struct("set", "sig", "fold")).alias("members"))
+        # a collision of node numbers only adds pairs, which are verified on the sets
+        node = F.xxhash64(F.array_min(F.transform("members", lambda m: m["set"])))
+        self.groups = scratch(groups.select(node.alias("node"), "n", "prefix", "members"), "groups")
+        every = self.groups.select(F.explode("prefix").alias("token"))
+        often = scratch(every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "often")
+        groups = self.groups.select("node", "n", "prefix", F.when(F.size("members") == 1, F.col("members")[0]["fold"]).alias("fold"))
+        large = broadcast_if_small(scratch(often.where(f"c > {LARGE}").select("token", F.lit(True).alias("large")), "large"), 72)
+        if often.count() <= SENT:
+            tokens = groups.select("node", "n", "fold", F.explode(_recurring(often)(F.col("prefix"))).alias("token"))
+        else:
+            tokens = groups.select("node", "n", "fold", F.explode("prefix").alias("token")).join(often.select("token"), "token", "left_semi")
+        tokens = tokens.join(large, "token", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        self.tokens = scratch(tokens, "tokens")
 
     def group_pairs(self) -> DataFrame:
         """Pairs of groups (node_a < node_b): all in small buckets; in large ones each with a hub of about its size."""
-        small = self.tokens.where(f"c <= {LARGE}")
-        a, b = _side(small, "a", "token", "node", "n"), _side(small, "b", "token", "node", "n")
-        met = a.join(b, (a["token"] == b["token"]) & F.expr(f"node_a < node_b and {_sizes(self.num, self.den)}")).select("node_a", "node_b")
-        large = self.tokens.where(f"c > {LARGE}")
+        near = _maybe_near(self.num, self.den)
+        small = self.tokens.where("not large")
+        a, b = _side(small, "a", "token", "node", "n", "fold"), _side(small, "b", "token", "node", "n", "fold")
+        met = a.join(b, (a["token"] == b["token"]) & F.expr(f"node_a < node_b and {_sizes(self.num, self.den)} and {near}")).select("node_a", "node_b")
+        large = self.tokens.where("large")
         large = large.withColumn("band", F.floor(F.log("n") / F.log(F.lit(self.den / self.num))))
-        hubs = large.groupBy("token", "band").agg(F.min("node").alias("hub"))
-        star = large.join(hubs, ["token", "band"]).where("node <> hub")
-        star = star.select(F.least("node", "hub").alias("node_a"), F.greatest("node", "hub").alias("node_b"))
+        hubs = large.groupBy("token", "band").agg(F.min_by(F.struct("node", "n", "fold"), "node").alias("hub"))
+        star = large.join(hubs, ["token", "band"]).where("node <> hub.node")
+        star = star.selectExpr("node as node_a", "n as n_a", "fold as fold_a", "hub.node as node_b", "hub.n as n_b", "hub.fold as fold_b")
+        star = star.where(f"{_sizes(self.num, self.den)} and {near}").select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
         return met.unionByName(star).distinct()
 
     def set_pairs(self) -> DataFrame:
@@ -176,7 +227,7 @@ class _Join:
         names = ["n_a", "n_b", "members_a", "members_b"]
         met = met.select(*names).unionByName(within.select(*names)).select("n_a", "n_b", F.explode("members_a").alias("x"), "members_b")
         met = met.select("n_a", "n_b", "x", F.explode("members_b").alias("y")).where("x.set <> y.set")
-        met = met.selectExpr("n_a", "n_b", "x.set as set_a", "y.set as set_b", "x.sig as sig_a", "y.sig as sig_b").where(_near(self.num, self.den))
+        met = met.selectExpr("n_a", "n_b", "x.set as set_a", "y.set as set_b", "x.sig as sig_a", "y.sig as sig_b", "x.fold as fold_a", "y.fold as fold_b").where(_near(self.num, self.den))
         return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -184,7 +235,9 @@ class _Join:
         n, num, den = self.n, self.num, self.den
         pairs = scratch(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        wanted = scratch(wanted.join(self.sets.select("set", "first_id"), "set").select("set", F.col("first_id").alias("_id")), "wanted")
+        wanted = broadcast_if_small(scratch(wanted, "wanted"), 48)
+        found = self.described.select("set", "_id").join(wanted, "set")
+        wanted = scratch(found.groupBy("set").agg(F.min("_id").alias("_id")), "found")
         ids = broadcast_if_small(scratch(wanted.select("_id").distinct(), "ids"), 32)
         texts = self.rows.join(ids.withColumnRenamed("_id", "_want"), F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
 
@@ -213,13 +266,13 @@ class _Join:
 
     def rest_pairs(self, roots: DataFrame) -> DataFrame:
         """Pairs of different components in large buckets."""
-        large = self.tokens.where(f"c > {LARGE}").select("token", "node")
-        members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig")
+        large = self.tokens.where("large").select("token", "node")
+        members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
         met = large.join(members, "node").join(roots.withColumnRenamed("id", "set"), "set", "left")
         met = met.withColumn("root", F.coalesce("root", "set"))
         open_ = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        met = scratch(met.join(open_, "token").select("token", "n", "set", "sig", "root"), "open")
-        a, b = (_side(met, s, "token", "n", "set", "sig", "root") for s in "ab")
+        met = scratch(met.join(open_, "token").select("token", "n", "set", "sig", "fold", "root"), "open")
+        a, b = (_side(met, s, "token", "n", "set", "sig", "fold", "root") for s in "ab")
         both = a.join(b, (a["token"] == b["token"]) & F.expr(f"root_a < root_b and {_sizes(self.num, self.den)} and {_near(self.num, self.den)}"))
         return both.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
@@ -229,13 +282,14 @@ def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
 
     Links: den * intersection >= num * union.
     """
-    kind, count = df.schema[id_col].dataType.simpleString(), df.count()
+    kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    crowded = _crowded_cells(rows.select("_text"), n, power_of_two(16 * count, LEAST_CELLS, MOST_CELLS))
-    described = scratch(_described(rows, kind, n, num, den, crowded), "described")
+    crowded = _crowded_cells(rows.select("_text"), n, CELLS)
+    described = _described(rows, kind, n, num, den, crowded).withColumn("key", F.xxhash64("n", "prefix"))
+    described = scratch(described, "described")
     join = _Join(rows, described, n, num, den)
     links = join.verified(join.set_pairs())
-    if not join.tokens.where(f"c > {LARGE}").isEmpty():
+    if not join.tokens.where("large").isEmpty():
         more = join.verified(join.rest_pairs(components(links)))
         links = links.unionByName(more)
     roots = components(links).withColumnRenamed("id", "set")
@@ -257,4 +311,5 @@ def drop_near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """The rows of df that stand for their component, with their columns as they were."""
     found = ngram_components(df, n, num, den, id_col, text_col)
     drop = scratch(found.where("not keep").select(F.col(id_col).alias("_drop")).distinct(), "dropped")
-    return df.join(broadcast_if_small(drop, 16), F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
+    whole = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_own"))
+    return whole.join(broadcast_if_small(drop, 16), F.col("_own").eqNullSafe(F.col("_drop")), "left_anti").select("_whole.*")
