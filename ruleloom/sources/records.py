@@ -48,7 +48,7 @@ def meta(raw: DataFrame) -> DataFrame:
 
 
 def docket(documents: DataFrame, docket_id: str) -> DataFrame:
-    """All versions of a proceeding, the oldest first (the reference data's cap of 100 isn't copied)."""
+    """All versions of a proceeding, the oldest first."""
     return documents.where(F.array_contains("docket_ids", docket_id)).orderBy("publication_date", "doc_id")
 
 
