@@ -6,9 +6,10 @@ to ORDER bytes form a trie of counts from the training rows. A symbol seen c tim
 shorter context is asked, from which the symbols of the longer one are excluded; below the empty context all bytes
 not yet excluded are equally likely. The trie is pretrained: scoring doesn't change it.
 
-Counts of grams (context and symbol) and of words cover all training rows and are summed by Spark. The trie that is sent
-to the workers has at most NODES of the longest grams, the most frequent ones; shorter contexts are sums over all
-grams. Words' counts are looked up among the COMMON most frequent words on the workers, all others by a join.
+Counts of grams (context and symbol) and of words cover all training rows and are summed by Spark; every gram of every
+length stays in a written table. The costs of the NODES most frequent longest grams are looked up on the workers; all
+other grams of a text, seen in training or not, get theirs by joins with the whole tables, so NODES and COMMON set
+speed, not results. Words' counts are looked up among the COMMON most frequent words likewise, all others by a join.
 
 A null text counts as empty: one token, the end. A null id is never held out. An empty table gives an empty result;
 with no training rows every symbol has probability 1/256 and the base is log10(1 / (0 + 0 + 1)) a token. Equal texts
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import scratch
+from ruleloom.llm.common import broadcast_if_small, scratch
 from ruleloom.llm.text_arrays import _SPACE, encoded, words
 
 ORDER = 5
@@ -84,28 +85,14 @@ def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield np.full(len(empty), int.from_bytes(bytes([END]) * (ORDER + 1)), U), empty, np.zeros(0, U), np.zeros(0, np.int64)
 
 
-class Trie:
-    """Log10 probabilities by gram; a hash table for the grams of the model, the escape path for others."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shorter: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """keys: sorted longest grams; shorter: (grams, counts) of length 1, 2, ..., ORDER, sorted."""
-        self.levels = [*shorter, (keys, counts)]
-        self.contexts = []
-        for j, (g, c) in enumerate(self.levels):
-            context, at = np.unique(g >> U(8), return_inverse=True)
-            n = np.bincount(at, c, len(context))
-            d = np.bincount(at, minlength=len(context))
-            # what the next shorter context counts for the symbols that this one has seen
-            out = np.zeros(len(context))
-            if j:
-                s, sc = self.levels[j - 1]
-                where = np.minimum(np.searchsorted(s, g & U((1 << (8 * j)) - 1)), max(0, len(s) - 1))
-                out = np.bincount(at, sc[where] if len(s) else np.zeros(len(g)), len(context))
-            self.contexts.append((context, n, d, out))
+class Costs:
+    """Log10 probabilities by gram, as a hash table."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray) -> None:
         self.bits = max(10, int(len(keys)).bit_length() + 1)
         self.table_key = np.full(1 << self.bits, np.iinfo(np.uint64).max, U)
         self.table_cost = np.zeros(1 << self.bits, np.float32)
-        left, cost, slot = keys, self.slow(keys).astype(np.float32), self._slot(keys)
+        left, cost, slot = keys, costs.astype(np.float32), self._slot(keys)
         while len(left):
             free = self.table_key[slot] == np.iinfo(np.uint64).max
             _, one = np.unique(slot[free], return_index=True)
@@ -118,10 +105,12 @@ class Trie:
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return ((g * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
-    def cost(self, g: np.ndarray) -> np.ndarray:
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs, 0 where the table lacks the gram, and the places of those."""
         slot = self._slot(g)
-        out = np.where(self.table_key[slot] == g, self.table_cost[slot], np.float32(1)).astype(float)
-        left = np.flatnonzero(out > 0)
+        hit = self.table_key[slot] == g
+        out = np.where(hit, self.table_cost[slot], np.float32(0)).astype(float)
+        left = np.flatnonzero(~hit)
         slot = slot[left]
         lost = [np.zeros(0, np.int64)]
         while len(left):
@@ -132,52 +121,57 @@ class Trie:
             lost.append(left[gone])
             on = ~(gone | hit)
             left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        at = np.concatenate(lost)
-        if len(at):
-            u, back = np.unique(g[at], return_inverse=True)
-            out[at] = self.slow(u)[back]
-        return out
-
-    def slow(self, g: np.ndarray) -> np.ndarray:
-        """The definition, for any grams."""
-        out, open_ = np.zeros(len(g)), np.ones(len(g), bool)
-        excluded = np.full(len(g), -1)  # the place, one level up, of the context whose symbols are excluded
-        for j in range(ORDER, -1, -1):
-            grams_, counts = self.levels[j]
-            context, n, d, _ = self.contexts[j]
-            at = np.flatnonzero(open_)
-            if not len(at) or not len(context):
-                continue
-            own = g[at] & U((1 << (8 * (j + 1))) - 1)
-            c = np.minimum(np.searchsorted(context, own >> U(8)), len(context) - 1)
-            known = context[c] == own >> U(8)
-            at, own, c = at[known], own[known], c[known]
-            total, kinds = n[c].astype(float), d[c].astype(float)
-            if j < ORDER and len(self.contexts[j + 1][0]):
-                up = excluded[at]
-                has = up >= 0
-                total[has] -= self.contexts[j + 1][3][up[has]]
-                kinds[has] -= self.contexts[j + 1][2][up[has]]
-            where = np.minimum(np.searchsorted(grams_, own), len(grams_) - 1)
-            hit = grams_[where] == own
-            out[at[hit]] += np.log10((2 * counts[where[hit]] - 1) / (2 * total[hit]))
-            open_[at[hit]] = False
-            miss = ~hit & (kinds > 0)  # with nothing left to offer, the escape is certain
-            out[at[miss]] += np.log10(kinds[miss] / (2 * total[miss]))
-            excluded[at[~hit]] = c[~hit]
-        at = np.flatnonzero(open_)
-        if len(at):
-            out[at] -= np.log10(256 - (len(self.levels[0][0]) if len(self.levels[0][0]) else 0))
-        return out
-
-
-def suffixes(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of the grams of length 1 to ORDER that end where the longest end."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+        return out, np.sort(np.concatenate(lost))
+
+
+def _low(key: str, n: int) -> Column:
+    """The last n bytes of a gram."""
+    return F.col(key).bitwiseAND((1 << (8 * n)) - 1)
+
+
+def _levels(gram_counts: DataFrame) -> list[DataFrame]:
+    """Counts of all grams of 1, 2, ..., ORDER + 1 bytes."""
+    out = [gram_counts]
     for j in range(ORDER, 0, -1):
-        keys, at = np.unique(keys & U((1 << (8 * j)) - 1), return_inverse=True)
-        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-        out.insert(0, (keys, counts))
+        out.insert(0, scratch(out[0].groupBy(_low("key", j).alias("key")).agg(F.sum("c").alias("c")), f"grams{j}"))
+    return out
+
+
+def _open_costs(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """key, cost for any distinct grams, by the definition: all levels are whole tables, met by joins."""
+    kinds, total = F.col("d") - F.coalesce("up_d", F.lit(0)), F.col("n") - F.coalesce("up_out", F.lit(0))
+    step = F.when(F.col("c").isNotNull(), F.log10((2 * F.col("c") - 1) / (2 * total)))
+    step = step.when(kinds > 0, F.log10(kinds / (2 * total))).otherwise(0.0)  # with nothing left to offer, the escape is certain
+    none = F.lit(None).cast("long")
+    left, done = keys.select("key", F.lit(0.0).alias("cost"), none.alias("up_d"), none.alias("up_out")), []
+    for j in range(ORDER, -1, -1):
+        own = left.select(_low("key", j + 1).alias("own")).distinct()
+        own = scratch(own.select("own", F.shiftright("own", 8).alias("context")), f"own{j}")
+        wanted = own.select("context").distinct()
+        counts = levels[j].select(F.col("key").alias("own"), "c", F.shiftright("key", 8).alias("context"))
+        met = counts.join(wanted, "context", "left_semi")
+        # what the next shorter context counts for the symbols that this one has seen
+        if j:
+            met = met.join(levels[j - 1].select(F.col("key").alias("s"), F.col("c").alias("sc")), _low("own", j) == F.col("s"), "left")
+        else:
+            met = met.withColumn("sc", F.lit(0))
+        contexts = met.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.sum("sc").alias("out"))
+        found = own.join(contexts, "context").join(counts.select("own", "c"), "own", "left").drop("context")
+        found = broadcast_if_small(scratch(found, f"found{j}"), 48)
+        met = left.withColumn("own", _low("key", j + 1)).join(found, "own", "left")
+        left = scratch(
+            met.select(
+                "key", (F.col("cost") + F.when(F.col("n").isNull(), 0.0).otherwise(step)).alias("cost"), F.col("d").alias("up_d"),
+                F.col("out").alias("up_out"), F.col("c").isNotNull().alias("done"),
+            ),
+            f"step{j}",
+        )
+        done.append(left.where("done").select("key", "cost"))
+        left = left.where("not done").drop("done")
+    symbols = levels[0].count()
+    out = left.select("key", (F.col("cost") - float(np.log10(256 - symbols)) if symbols < 256 else F.col("cost")).alias("cost"))
+    for x in done:
+        out = out.unionByName(x)
     return out
 
 
@@ -226,14 +220,14 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 @lru_cache(1)
-def _trie(keys: bytes, counts: bytes, shorter: tuple) -> Trie:
-    return Trie(np.frombuffer(keys, U), np.frombuffer(counts, np.int64), [(np.frombuffer(a, U), np.frombuffer(b, np.int64)) for a, b in shorter])
+def _costs(keys: bytes, costs: bytes) -> Costs:
+    return Costs(np.frombuffer(keys, U), np.frombuffer(costs))
 
 
-def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted as unsigned, and counts of a bounded table."""
-    table = df.select("key", "c").toArrow()
-    keys, c = table["key"].to_numpy().astype(np.int64).view(U), table["c"].to_numpy().astype(np.int64)
+def _columns(df: DataFrame, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted as unsigned, and values of a bounded table."""
+    table = df.select("key", value).toArrow()
+    keys, c = table["key"].to_numpy().astype(np.int64).view(U), table[value].to_numpy()
     order = np.argsort(keys)
     return keys[order], c[order]
 
@@ -249,54 +243,62 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes:
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + texts, distinct + (texts > 0)
     gram_counts = counts.where("kind = 0").select("key", "c")
-    keys, c = _columns(_most_frequent(gram_counts, nodes))
-    # shorter contexts count all grams: 256 ** ORDER would bound them, so the same number of nodes does
-    shorter, below = [], gram_counts
-    for j in range(ORDER, 0, -1):
-        below = below.groupBy((F.col("key").bitwiseAND((1 << (8 * j)) - 1)).alias("key")).agg(F.sum("c").alias("c"))
-        below = scratch(below, f"grams{j}")
-        shorter.insert(0, _columns(_most_frequent(below, nodes)))
+    # a gram that training has seen ends at the longest context, so its cost needs that context's count only
+    hot = scratch(_most_frequent(gram_counts, nodes), "hot")
+    contexts = gram_counts.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("c").alias("n"))
+    hot = hot.join(contexts, F.shiftright("key", 8) == F.col("context")).select("key", F.log10((2 * F.col("c") - 1) / (2 * F.col("n"))).alias("cost"))
+    keys, costs = _columns(hot, "cost")
     known_keys, known_c = _columns(_most_frequent(vocabulary, common))
     least = int(known_c.min()) if len(known_c) else 0
-    model = spark.sparkContext.broadcast(
-        (keys.tobytes(), c.tobytes(), tuple((a.tobytes(), b.tobytes()) for a, b in shorter), known_keys, np.log10(known_c + 1.0))
-    )
+    model = spark.sparkContext.broadcast((keys.tobytes(), costs.astype(float).tobytes(), known_keys, np.log10(known_c + 1.0)))
     log_all, end = float(np.log10(total + distinct + 1.0)), float(np.log10(texts + 1.0))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        k, a, b, known, logs = model.value
-        trie, number = _trie(k, a, b), TaskContext.get().partitionId() << 40
+        k, c, known, logs = model.value
+        hot, number = _costs(k, c), TaskContext.get().partitionId() << 40
         for batch in batches:
             n = len(batch)
             value, tokens, hits, base = np.zeros(n), np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, end)
             rest: list[list[np.ndarray]] = [[np.zeros(0, U)] for _ in range(n)]
+            miss: list[list[np.ndarray]] = [[np.zeros(0, U)] for _ in range(n)]
+
+            def keep(into: list[list[np.ndarray]], left: np.ndarray, left_of: np.ndarray) -> None:
+                cut = np.searchsorted(left_of, np.arange(len(into) + 1))
+                for i in np.flatnonzero(np.diff(cut)):
+                    into[i].append(left[cut[i] : cut[i + 1]])
+
             for g, doc, h, of in grams(encoded(batch["_text"])):
-                value += np.bincount(doc, trie.cost(g), n)
+                cost, lost = hot.find(g)
+                value += np.bincount(doc, cost, n)
+                keep(miss, g[lost], doc[lost])
                 tokens += np.bincount(of, minlength=n)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
                 base += np.bincount(of[hit], logs[at[hit]], n)
                 hits += np.bincount(of[hit], minlength=n)
-                left, left_of = h[~hit], of[~hit]
-                cut = np.searchsorted(left_of, np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(cut)):
-                    rest[i].append(left[cut[i] : cut[i + 1]])
+                keep(rest, h[~hit], of[~hit])
             yield pd.DataFrame(
                 {
                     "_id": batch["_id"], "_row": number + np.arange(n), "n_tokens": tokens, "hits": hits, "base": base, "score": value,
-                    "rest": [np.concatenate(x).view(np.int64) for x in rest],
+                    "rest": [np.concatenate(x).view(np.int64) for x in rest], "miss": [np.concatenate(x).view(np.int64) for x in miss],
                 }
             )
             number += n
 
-    out = rows.mapInPandas(scored, f"_id {kind}, _row long, n_tokens long, hits long, base double, score double, rest array<long>")
+    out = rows.mapInPandas(scored, f"_id {kind}, _row long, n_tokens long, hits long, base double, score double, rest array<long>, miss array<long>")
     out = scratch(out, "scored")
     rare = out.select("_row", F.explode("rest").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("k"))
     found = vocabulary.where(F.col("c") < least) if least else vocabulary
     rare = rare.join(found, "key").groupBy("_row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("add"))
-    met = out.drop("rest").join(rare, "_row", "left")
+    missed = scratch(out.select("_row", F.explode("miss").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("k")), "missed")
+    open_ = scratch(missed.select("key").distinct(), "open")
+    open_ = broadcast_if_small(scratch(_open_costs(open_, _levels(gram_counts)), "costs"), 24)
+    # decimals, as their sum doesn't depend on the order of rows
+    added = F.sum(F.col("k").cast("decimal(12,0)") * F.col("cost").cast("decimal(16,12)")).cast("double")
+    missed = missed.join(open_, "key").groupBy("_row").agg(added.alias("open"))
+    met = out.drop("rest", "miss").join(rare, "_row", "left").join(missed, "_row", "left")
     return met.select(
         F.col("_id").alias(id_col),
         held_out("_id").alias("held_out"),
@@ -304,5 +306,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes:
         (F.col("hits") + F.coalesce("more", F.lit(0)) + F.lit(int(texts > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("open", F.lit(0.0))).alias("score"),
     )

@@ -369,6 +369,18 @@ def test_lm(docs, texts, common):
             assert abs(cost[t] - r["score"]) < 1e-3
 
 
+@pytest.mark.parametrize("nodes", [0, 40])
+def test_lm_counts_grams_beyond_the_nodes(spark, nodes):
+    """What the workers hold sets the speed only: rare grams and all shorter contexts count as well."""
+    all_ = ["the cat sat on the mat", "the cat ate the rat", "a rat and a cat", "zebra xylem", "the bat sat", "on the mat a rat", "the unseen quokka", "cat", None, "é 日本", "the cat sat on a xylem", "zq"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(all_))]
+    assert any(held)
+    training = [t for t, h in zip(all_, held, strict=True) if not h]
+    out = {r["doc_id"]: r["score"] for r in collected(lm.score(table(spark, all_), nodes=nodes))}
+    for i, t in enumerate(all_):
+        assert abs(out[i] - brute_ppm(training, t)) < 1e-4
+
+
 def test_lm_streams_of_texts_in_pieces(monkeypatch):
     text = [b"some words here and there " * 40, b"", b"tail"]
     whole = sorted(x for g, *_ in lm.grams(text) for x in g.tolist())
