@@ -1,9 +1,12 @@
-"""Substring dedup by hashing lines and their sentences.
+"""Substring dedup by hashing runs of sentences.
 
-A text's units are its lines, cut further after a sentence's end mark. A unit is normalised (case, white space) and, if
-it has at least MIN_WORDS words, digested with 128 bits. Of units with equal digests, in all documents, the first
-stays: that of the smallest id (null ids last), then the smallest offset. The others' spans are removed; spans are
-given in the original text's characters.
+A text's units are its lines, cut further after a sentence's end mark, and normalised (case, white space). From each
+unit a run goes on, and another back, over as few units as have MIN_WORDS words together, across lines too; a unit
+with as many words is a run by itself. Any passage of whole units with MIN_WORDS words or more, such as a line, a
+paragraph or a list of short lines, is a union of such runs. Runs are digested with 128 bits. Of runs with equal
+digests, in all documents, the first stays: that of the smallest id (null ids last), then the smallest offset. The
+others' units are removed, but for those that overlap the first; spans of units are given in the original text's
+characters.
 
 A null text counts as empty. Rows that agree in id and text count as one document: their units are the same
 occurrences, so they stay or go alike. An empty table gives an empty result. Extra columns don't matter.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.common import BROADCAST_BYTES, scratch
 
-#: Shorter units recur by chance.
+#: Shorter runs recur by chance.
 MIN_WORDS = 6
 _UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 
@@ -36,6 +39,41 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
             yield a, a + len(raw.strip()), " ".join(words)
 
 
+def runs(found: list[tuple[int, int, str]], least: int) -> Iterator[tuple[int, int, str]]:
+    """Start, end and normal form of the shortest runs of units, from each on and back, that have so many words."""
+    words = [normal.count(" ") + 1 for _, _, normal in found]
+    seen, last, n = set(), 0, 0
+    for i, w in enumerate(words):  # [i, last) has n words
+        while n < least and last < len(words):
+            n, last = n + words[last], last + 1
+        if n < least:
+            break
+        seen.add((i, last))
+        n -= w
+    first, n = len(words), 0
+    for k in range(len(words), 0, -1):  # [first, k) has n words
+        while n < least and first:
+            first -= 1
+            n += words[first]
+        if n < least:
+            break
+        seen.add((first, k))
+        n -= words[k - 1]
+    for i, k in sorted(seen):
+        yield found[i][0], found[k - 1][1], "\n".join(x[2] for x in found[i:k])
+
+
+def within(found: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The units that lie in one of the spans; both in order of their starts."""
+    out, k, reach = [], 0, -1
+    for a, b in found:
+        while k < len(spans) and spans[k][0] <= a:
+            reach, k = max(reach, spans[k][1]), k + 1
+        if b <= reach:
+            out.append((a, b))
+    return out
+
+
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without these spans and the white space after each, up to the line's end."""
     out, at = [], 0
@@ -58,16 +96,18 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
         for batch in batches:
             out = []
             for i, row, text in zip(batch["_id"], batch["_row"], batch["_text"], strict=True):
-                for a, b, normal in units(text):
-                    if normal.count(" ") + 1 >= min_words:
-                        out.append((i, row, a, b, xxhash.xxh3_128_digest(normal)))
+                for a, b, normal in runs(list(units(text)), min_words):
+                    out.append((i, row, a, b, xxhash.xxh3_128_digest(normal)))
             yield pd.DataFrame(out, columns=["_id", "_row", "a", "b", "digest"]).astype({"_id": batch["_id"].dtype})
 
     found = scratch(rows.mapInPandas(cut, f"_id {kind}, _row long, a int, b int, digest binary"), "units")
-    at = F.struct(F.col("_id").isNull().alias("no"), "_id", "_row", "a")
+    at = F.struct(F.col("_id").isNull().alias("no"), "_id", "_row", "a", "b")
     first = found.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = scratch(first, "repeated")
     more = found.join(first, "digest").where(~at.eqNullSafe(F.col("first")))
+    # the first stays whole where another overlaps it
+    same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_row") == F.col("first._row"))
+    more = more.withColumn("a", F.when(same, F.greatest("a", "first.b")).otherwise(F.col("a"))).where("a < b")
     spans = more.groupBy("_id", "_row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = scratch(spans.withColumnsRenamed({"_id": "_sid", "_row": "_srow"}), "spans")
     size = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)), F.count("*")).first()
@@ -79,10 +119,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
         for batch in batches:
             all_ = [[] if s is None else [(int(x["a"]), int(x["b"])) for x in s] for s in batch["spans"]]
             texts = batch["_text"].tolist()
+            found = [[(a, b) for a, b, _ in units(t)] for t in texts]
+            all_ = [within(f, s) if s else s for f, s in zip(found, all_, strict=True)]
             yield pd.DataFrame(
                 {
                     "_id": batch["_id"],
-                    "n_units": [sum(1 for _ in units(t)) for t in texts],
+                    "n_units": [len(f) for f in found],
                     "n_removed": [len(s) for s in all_],
                     "removed": [[{"start": a, "end": b} for a, b in s] for s in all_],
                     "kept_text": [_without(t, s) if s else t for t, s in zip(texts, all_, strict=True)],

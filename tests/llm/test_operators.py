@@ -423,6 +423,18 @@ def test_substring_dedup(spark, docs, texts):
     assert all([(s["start"], s["end"]) for s in r["removed"]] == want[r["doc_id"]] for r in whole if r["doc_id"] is not None)
 
 
+def test_substring_dedup_of_short_sentences_and_lines(spark):
+    """A passage of short sentences, a line's short tail and a list of short lines go; what stands first stays whole."""
+    passage = "Ha by, orwh. Of it nd. Reha one. Ti."
+    line = "This very line recurs in several of the documents here. And so on."
+    list_ = "Apples\nRed pears\n\nPlums too\nFigs"
+    all_ = [f"Start. {passage}\n{line}\nMiddle.\n{list_}\nEnd.", f"Other start.\nAn. {passage} Ok.", f"{line}\nNew words.", f"Shopping:\n{list_}\nDone.", "Go on. " * 8]
+    out = {r["doc_id"]: r for r in collected(substring_dedup.dedup(table(spark, all_)))}
+    cut = {i: " ".join(all_[i][s["start"] : s["end"]] for s in r["removed"]) for i, r in out.items()}
+    assert cut == {0: "", 1: passage, 2: line, 3: " ".join(list_.split()), 4: " ".join(["Go on."] * 5)}
+    assert out[0]["kept_text"] == all_[0] and out[4]["kept_text"].split() == ["Go", "on."] * 3
+
+
 def test_exact_dedup(docs, texts):
     normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in texts]
     groups = collections.defaultdict(list)
