@@ -110,7 +110,7 @@ def _crowded_cells(texts: DataFrame, n: int, cells: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, kind: str, n: int, num: int, den: int, crowded: np.ndarray) -> DataFrame:
-    """For each row its set's size, digest, prefix and signature."""
+    """For each row its text's hash and its set's size, digest, prefix and signature."""
     shift = U(64 - len(crowded).bit_length() + 1)
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(crowded))
 
@@ -127,9 +127,9 @@ def _described(rows: DataFrame, kind: str, n: int, num: int, den: int, crowded:
                 prefix.append(order[: k + (-num * k // den) + 1 if k else 0].view(np.int64))
                 signature.append(_parity(s, max(64 * WORDS, 1 << max(0, k - 1).bit_length())))
                 fold.append(_parity(s, 64 * FOLDED))
-            yield pd.DataFrame({"_id": batch["_id"], "n": size, "set": digest, "prefix": prefix, "sig": signature, "fold": fold})
+            yield pd.DataFrame({"_id": batch["_id"], "hash": batch["_hash"], "n": size, "set": digest, "prefix": prefix, "sig": signature, "fold": fold})
 
-    return rows.mapInPandas(describe, f"_id {kind}, n int, set binary, prefix array<long>, sig array<long>, fold array<long>")
+    return rows.mapInPandas(describe, f"_id {kind}, hash long, n int, set binary, prefix array<long>, sig array<long>, fold array<long>")
 
 
 def _parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -280,10 +280,15 @@ class _Join:
 def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_shingles, component_id, keep (the row of the smallest id stands for its component).
 
-    Links: den * intersection >= num * union.
+    Links: den * intersection >= num * union. Of rows of the smallest id that differ in text, one stays.
     """
+    return _components(df, n, num, den, id_col, text_col).drop("hash")
+
+
+def _components(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """ngram_components() with the hash of each row's text."""
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     crowded = _crowded_cells(rows.select("_text"), n, CELLS)
     described = _described(rows, kind, n, num, den, crowded).withColumn("key", F.xxhash64("n", "prefix"))
     described = scratch(described, "described")
@@ -293,23 +298,27 @@ def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
         more = join.verified(join.rest_pairs(components(links)))
         links = links.unionByName(more)
     roots = components(links).withColumnRenamed("id", "set")
-    docs = described.select("_id", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    docs = described.select("_id", "hash", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     docs = scratch(docs, "rooted")
     full = docs.where("n > 0")
-    least = full.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "set")).alias("least"))
+    least = full.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "set", "hash")).alias("least"))
     met = full.join(least, "root").select(
         F.col("_id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.col("least._id").alias("component_id"),
-        (F.col("_id").eqNullSafe(F.col("least._id")) & (F.col("set") == F.col("least.set"))).alias("keep"),
+        (F.col("_id").eqNullSafe(F.col("least._id")) & (F.col("set") == F.col("least.set")) & (F.col("hash") == F.col("least.hash"))).alias("keep"),
+        "hash",
     )
-    empty = docs.where("n = 0").select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("keep"))
+    empty = docs.where("n = 0").select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("keep"), "hash")
     return met.unionByName(empty)
 
 
 def drop_near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stand for their component, with their columns as they were."""
-    found = ngram_components(df, n, num, den, id_col, text_col)
-    drop = scratch(found.where("not keep").select(F.col(id_col).alias("_drop")).distinct(), "dropped")
-    whole = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_own"))
-    return whole.join(broadcast_if_small(drop, 16), F.col("_own").eqNullSafe(F.col("_drop")), "left_anti").select("_whole.*")
+    """The rows of df that stand for their component, with their columns as they were.
+
+    A row goes by its id and its text, as ids may be null or repeat with other texts. Rows that agree in both stay or go alike.
+    """
+    found = _components(df, n, num, den, id_col, text_col)
+    drop = scratch(found.where("not keep").select(F.col(id_col).alias("_drop"), F.col("hash").alias("_hash")).distinct(), "dropped")
+    whole = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"))
+    return whole.join(broadcast_if_small(drop, 24), (F.col("_key") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_drop")), "left_anti").select("_whole.*")

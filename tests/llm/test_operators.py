@@ -115,6 +115,15 @@ def test_ngram_join_on_clusters_beyond_a_bucket(spark, monkeypatch):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in want}
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c, d = (long_text(k, 60) for k in (3, 5, 7, 11))
+    all_ = [(5, a), (5, b + " more"), (7, a + " more"), (3, b), (None, c), (None, d + " more"), (None, b + " other"), (9, d), (None, a + " other")]
+    kept = ngram_join.drop_near_duplicates(spark.createDataFrame(all_, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(5, a), (3, b), (None, c), (9, d)], kept.schema).collect()))
+    spaced = spark.createDataFrame([(None, c), (None, c.replace(" ", "  ")), (None, c + " more")], kept.schema)
+    assert ngram_join.drop_near_duplicates(spaced).count() == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)]
