@@ -36,8 +36,8 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return apply_mix(docs, length_col="n_chars")
+    """Each document as often as the mix takes it, always whole; those without words go."""
+    return apply_mix(docs, length_col="n_chars", parts=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,13 +176,18 @@ def targets_within(patterns: Sequence[tuple[Sequence[int], int]], sizes: Sequenc
     return [x * Fraction(total, sum(sizes)) for x in scaled]
 
 
-def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, parts: bool = True, **options) -> DataFrame:
     """The mix itself, with the columns of df: each row as often as it was taken; a part is the text up to its last taken word.
 
-    length_col, if any, gets the number of characters of a text that was cut. Of rows that agree in id and text, all
-    get what the best of them got.
+    length_col, if any, gets the number of characters of a text that was cut. Without parts no text is cut: a document
+    of which a part was taken comes once more if that is half of it or more, so a pattern's words are met to half a
+    document. Of rows that agree in id and text, all get what the best of them got. Documents without words are
+    taken never.
     """
-    plan = mix(df, id_col, text_col, source_col, **options).where("whole > 0 or part > 0")
+    plan = mix(df, id_col, text_col, source_col, **options)
+    if not parts:
+        plan = plan.withColumn("whole", F.col("whole") + (2 * F.col("part") >= F.greatest("size", F.lit(1))).cast("long")).withColumn("part", F.lit(0).cast("long"))
+    plan = plan.where("whole > 0 or part > 0")
     plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(F.struct("whole", "part")).alias("_plan"))
     keyed = df.select(F.struct("*").alias("_whole"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col)).alias("_key"))
     met = keyed.join(plan, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))

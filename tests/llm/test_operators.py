@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -327,6 +328,15 @@ def test_applied_mix(spark):
     assert all(words[i] == r["taken"] for i, r in plan.items()) and out[0].__fields__ == df.columns
 
 
+def test_pipeline_mixes_whole_documents(spark):
+    df = table(spark, [long_text(k, 10 + k) for k in range(40)], lambda i: "a" if i < 35 else "b")
+    plan, text = {r["doc_id"]: r for r in collected(mixing.mix(df))}, {r["doc_id"]: r["text"] for r in df.collect()}
+    assert any(r["part"] for r in plan.values())
+    out = corpus_pipeline.mixed(spark, df, "").collect()
+    assert all(r["text"] == text[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in out)
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter({i: r["whole"] + (2 * r["part"] >= r["size"]) for i, r in plan.items() if r["whole"] or 2 * r["part"] >= r["size"]})
+
+
 def brute_ppm(training, text):
     k, stream = lm.ORDER, lambda t: " ".join(WORD.findall(lower(t))).encode() + b"\n"
     count = [collections.defaultdict(collections.Counter) for _ in range(k + 1)]
