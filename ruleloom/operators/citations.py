@@ -77,6 +77,43 @@ def located(met: DataFrame, text: str, quote: str) -> DataFrame:
     ).drop("__q", "__at")
 
 
+#: Words of a window, and characters of one for quotes of fewer than three words.
+WINDOW = 3
+
+
+def _windows(x: Column, w: int) -> Column:
+    """Hashes of all w neighbours in an array of strings; each has the places before it folded in."""
+    out = F.transform(x, lambda y: F.xxhash64(y))
+    for k in range(2, w + 1):  # null where the array ends
+        out = F.zip_with(out, F.slice(x, k, 1 << 30), lambda h, y: F.when(h.isNotNull() & y.isNotNull(), F.xxhash64(h, y)))
+    return F.filter(out, lambda h: h.isNotNull())
+
+
+def contained(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text") -> DataFrame:
+    """docs with quote_id and quote of each quote that its text holds exactly (trimmed), for any number of quotes.
+
+    Where a text holds a quote, it holds the quote's inner words whole: the first windows of these, or of characters for
+    quotes of one or two words, meet the texts' windows in an equality join, and only such pairs are searched.
+    """
+    q = T.trim(quote)
+    words, chars = F.split(q, f"{T.WS}+"), F.split(q, "")
+    inner, n = F.size(words) - 2, F.length(q)
+    asked = quotes.where(n > 0).select(F.col(quote_id), F.col(quote), (inner > 0).alias("by_words"), F.least(F.lit(WINDOW), F.when(inner > 0, inner).otherwise(n)).alias("w"), words.alias("words"), chars.alias("chars"))
+    kinds = asked.select("by_words", "w").distinct().collect()  # at most 2 * WINDOW
+    met = None
+    for by_words, w in kinds:
+        own = asked.where((F.col("by_words") == by_words) & (F.col("w") == w))
+        anchor = F.slice("words", 2, w) if by_words else F.slice("chars", 1, w)
+        held = F.split(text, f"{T.WS}+" if by_words else "")
+        rows = docs.select(F.col(doc_id).alias("__doc"), F.explode(_windows(held, w)).alias("__h"))
+        one = rows.join(own.select(quote_id, F.get(_windows(anchor, w), F.lit(0)).alias("__h")), "__h").select("__doc", F.col(quote_id).alias("__quote")).distinct()
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        return docs.join(quotes.select(quote_id, quote).limit(0), F.lit(False))
+    out = docs.join(met, F.col(doc_id).eqNullSafe(F.col("__doc"))).join(quotes.select(quote_id, quote), F.col(quote_id).eqNullSafe(F.col("__quote")))
+    return out.where(F.contains(text, T.trim(quote))).drop("__doc", "__quote")
+
+
 def normal_tokens(texts: DataFrame, by: str, text: str) -> DataFrame:
     """The words of each text with their place in it and in its normal form: by, k, token, at, normal_at."""
     token = F.regexp_extract_all(F.col(text), F.lit(f"{T.WS}*{T.NON_WS}+"), F.lit(0))

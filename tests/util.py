@@ -18,7 +18,7 @@ def database(sf: str = SF) -> duckdb.DuckDBPyConnection:
 
 
 def _text(x) -> str:
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "~"
     if hasattr(x, "year"):
         return str(x)[:10]
