@@ -159,3 +159,14 @@ def json_salvage(raw: Column) -> Column:
     body = T.trim(F.coalesce(fenced, t))
     outer = F.nullif(F.regexp_extract(body, r"[\[{][\s\S]*[\]}]", 0), F.lit(""))
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(outer))
+
+
+def label(kind: str, key: Column) -> Column:
+    """What readers see for a key of one of the vocabulary's sets of labels; null for an unknown key."""
+    pairs = F.create_map(*[F.lit(x) for kv in V.LABELS[kind].items() for x in kv])
+    return F.try_element_at(pairs, key)
+
+
+def official_url(url: Column, number: Column) -> Column:
+    """The document's own page, or the one that its number gives."""
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat(F.lit(V.OFFICIAL_URL), number))

@@ -123,6 +123,35 @@ CONTEXT, PASSAGE_CONTEXT, PASSAGE_CHARS, PASSAGES, CHANGED_CHARS = 60, 320, 900,
 OUTLINE_CHARS, OUTLINE_ENTRIES, TERM_CHARS, TERM_OVERLAP, TERM_GROUPS = 2000, 12, 4000, 0.34, 6
 CONFIDENT = 0.7
 
+# What readers see for each internal key.
+LABELS = {
+    "tier": {"T1": "Version history", "T2": "Commission determinations", "T3": "Marked-up text (redline)"},
+    "join": {"explicit": "linked by section citation", "implicit": "linked by topic match", "none": "no linked text change"},
+    "provision_status": {
+        "proposed": "Proposed — not yet binding", "adopted": "Amended in this order", "settled": "Upheld — unchanged", "reopened": "Reopened",
+        "unknown": "Undetermined",
+    },
+    "disposition": {
+        "affirmed": "Affirmed", "sustained": "Sustained — challenge rejected", "clarified": "Clarified — no text change", "modified": "Modified",
+        "set-aside": "Set aside", "unclassified": "Not yet determined",
+    },
+    "priority": {"material": "Changes an obligation", "needs-review": "Needs expert review", "clarifying": "Clarifying"},
+    "materiality": {"material": "Changes an obligation", "clarifying": "Clarifying", "editorial": "Editorial only", "undecided": "Needs review"},
+    "stage": {
+        "fetching": "Retrieving document", "parsed": "Reading document", "capabilities": "Checking available analysis",
+        "determinations": "Finding Commission determinations", "redline": "Extracting marked-up changes",
+        "rules": "Screening changes automatically", "model": "Assessing changes needing judgement",
+        "summarise": "Summarising the important changes", "cards": "Assembling the briefing", "compliance": "Finding the compliance filing deadline",
+    },
+    "as_reads": {
+        "proposed": "As proposed", "adopted": "As adopted", "settled": "As it stands", "reopened": "As it stood, now reopened",
+        "unknown": "As printed in this document",
+    },
+}
+OFFICIAL_URL = "https://www.federalregister.gov/d/"
+# Statements of a briefing, of each category and in all.
+STATEMENTS, STATEMENTS_IN_ALL = 4, 24
+
 
 @dataclass(frozen=True)
 class Convention:

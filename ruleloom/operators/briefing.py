@@ -129,3 +129,11 @@ def totals(classified: DataFrame, buckets: DataFrame, sections: DataFrame) -> Da
 
 def by_category(briefing: DataFrame) -> DataFrame:
     return briefing.groupBy("doc_id", "category").agg(F.count("*").alias("entries"))
+
+
+def statement_budget(briefing: DataFrame, each: int = V.STATEMENTS, most: int = V.STATEMENTS_IN_ALL) -> DataFrame:
+    """The entries that statements are written for: the first material ones with edits of each category, and of those the
+    first of all, in the briefing's order; with their number from 1."""
+    own = briefing.where("priority = 'material' and edits > 0")
+    own = own.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("place"))).where(F.col("__k") <= each)
+    return own.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))).where(F.col("number") <= most).drop("__k")

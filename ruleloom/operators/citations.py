@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
+from ruleloom.operators.spans import asof
 
 DETAIL = 80
 
@@ -43,6 +44,18 @@ def gate_rate(verified: DataFrame) -> DataFrame:
     return verified.agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"), F.coalesce(F.avg(F.col("ok").cast("int")), F.lit(1.0)).alias("rate"))
 
 
+def cite(spans: DataFrame, doc_text: DataFrame, sections: DataFrame) -> DataFrame:
+    """spans (doc_id, span_start, span_end, ...) with the quote they enclose and the innermost section at their start."""
+    met = spans.drop("section_id").join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    met = met.withColumn("quote", T.cut("__text", F.col("span_start"), F.col("span_end"))).drop("__text")
+    return asof(met, sections, "doc_id", "span_start", "span_start", ["section_id"])
+
+
+def self_check(spans: DataFrame, doc_text: DataFrame, sections: DataFrame) -> DataFrame:
+    """The gate over citations of all spans, such as a document's paragraphs: doc_id, passed, suppressed, rate."""
+    return gate(verify(cite(spans, doc_text, sections), doc_text, sections))
+
+
 def occurrences(text: Column, quote: Column) -> Column:
     """Overlapping occurrences of a literal."""
     literal = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
@@ -50,7 +63,8 @@ def occurrences(text: Column, quote: Column) -> Column:
 
 
 def locate(quotes: DataFrame, doc_text: DataFrame, on: str = "doc_id", quote: str = "quote") -> DataFrame:
-    """quotes with result (found, ambiguous, not-found), match, occurrences and start (from 0, exact matches only).
+    """quotes with result (found, ambiguous, not-found), match, occurrences, start (from 0, exact matches only) and
+    original_start (that of either match, in the text as it is).
 
     The exact search comes first; only where it finds nothing are both sides normalised. Texts without the quote's
     normal form cost one substring search; occurrences are counted only where there is one.
@@ -59,6 +73,35 @@ def locate(quotes: DataFrame, doc_text: DataFrame, on: str = "doc_id", quote: st
     return located(met, "__text", quote).drop("__text")
 
 
+def locate_within(quotes: DataFrame, doc_text: DataFrame, sections: DataFrame, quote: str = "quote") -> DataFrame:
+    """As locate(), only in the section that scope names where it isn't null, with section_id: the innermost at the match.
+
+    quotes: doc_id, scope, quote. A scope that the document lacks has the result section-not-found.
+    """
+    own = sections.select("doc_id", F.col("section_id").alias("scope"), F.col("span_start").alias("__lo"), F.col("span_end").alias("__hi"))
+    met = quotes.join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id").join(own, ["doc_id", "scope"], "left")
+    lost = F.col("scope").isNotNull() & F.col("__lo").isNull()
+    met = met.withColumns({"__lost": lost, "__own": F.when(F.col("__lo").isNull(), F.col("__text")).otherwise(T.cut("__text", F.col("__lo"), F.col("__hi")))}).drop("__text")
+    out = located(met, "__own", quote).drop("__own")
+    shift = F.coalesce("__lo", F.lit(0))
+    clear = {c: F.when(~F.col("__lost"), F.col(c) + shift) for c in ("start", "original_start")}
+    clear |= {"match": F.when(~F.col("__lost"), F.col("match")), "occurrences": F.when(F.col("__lost"), 0).otherwise(F.col("occurrences"))}
+    out = out.withColumns(clear | {"result": F.when(F.col("__lost"), "section-not-found").otherwise(F.col("result"))}).drop("__lost", "__lo", "__hi")
+    return asof(out, sections, "doc_id", "original_start", "span_start", ["section_id"])
+
+
+def original_at(text: Column, normal_at: Column) -> Column:
+    """The place in text of a place in its normal form (both from 0), by the lengths of the words before it; a space
+    between words stands for the next word's start."""
+    normal = T.collapse(text)
+    before = F.substring(normal, 1, normal_at + F.when(F.substring(normal, normal_at + 1, F.lit(1)) == " ", 1).otherwise(0))
+    k = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    words = F.slice(F.regexp_extract_all(text, F.lit(f"{T.WS}*{T.NON_WS}+"), F.lit(0)), 1, k + 1)
+    last = F.element_at(words, -1)
+    ends = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    return ends - F.length(T.trim(last)) + F.length(F.substring_index(before, " ", -1))
+
+
 def located(met: DataFrame, text: str, quote: str) -> DataFrame:
     q = T.trim(quote)
     met = met.withColumns({"__q": q, "__at": F.instr(F.col(text), q)})
@@ -73,6 +116,7 @@ def located(met: DataFrame, text: str, quote: str) -> DataFrame:
             "match": F.when(blank | (n != 1), None).when(exact == 1, "exact").otherwise("normalized"),
             "result": F.when(blank | (n == 0), "not-found").when(n == 1, "found").otherwise("ambiguous"),
             "start": F.when(~blank & (exact == 1), F.col("__at") - 1),
+            "original_start": F.when(~blank & (exact == 1), F.col("__at") - 1).when(~blank & (n == 1), original_at(F.col(text), F.instr(normal, want) - 1)),
         }
     ).drop("__q", "__at")
 

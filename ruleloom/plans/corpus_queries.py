@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators import briefing as B
 from ruleloom.operators import cards as C
+from ruleloom.operators import citations as Q
 from ruleloom.operators import determinations as G
 from ruleloom.operators import model as M
 from ruleloom.operators import redline as E
@@ -294,3 +295,23 @@ def _residuals(a) -> tuple[DataFrame, DataFrame]:
 def residual_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = analysis(spark, sf_dir)
     return M.final_funnel(a.classified, _residuals(a)[1]).withColumn("rule_coverage", F.round("rule_coverage", 6))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 2 END::BIGINT AS passed, 0::BIGINT AS suppressed, 1.0::DOUBLE AS rate FROM orders")
+def citation_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every numbered paragraph, cited with the section it lies in, passes the gate."""
+    a = analysis(spark, sf_dir)
+    return Q.self_check(a.paragraphs, a.doc_text, a.sections)
+
+
+@query(
+    f"""WITH {ENTRIES}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
+      list_position(['deadline', 'money', 'threshold', 'obligation', 'definition', 'other'], category),
+      list_position(['material', 'needs-review', 'clarifying'], priority), revisions DESC, build_seq) AS place FROM entries),
+    own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY place) AS k FROM placed WHERE priority = 'material' AND revisions > 0)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INT) AS number, provision, category FROM own WHERE k <= 4
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) <= 24"""
+)
+def statement_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provisions that statements are written for: four a category and 24 a document at most."""
+    return B.statement_budget(analysis(spark, sf_dir).briefing).select("doc_id", "number", "provision", "category")

@@ -16,6 +16,7 @@ from ruleloom.operators import model as M
 from ruleloom.operators import rules as R
 from ruleloom.operators import spans as P
 from ruleloom.plans.corpus import read
+from ruleloom.session import new_path
 from ruleloom.sources import markup, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,14 +305,16 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, rpad(text, 200, '_') AS t, CAST(doc_id % 30 AS INT) AS d FROM documents)
-    SELECT doc_id, 'unchanged:' || t[1:10 + d] || '|deletion:' || t[11 + d:20 + d] || '|addition:' || t[21 + d:30 + d] || '|unchanged:' || t[31 + d:100] || '|addition:' || t[101:] AS shown FROM w"""
+    """WITH w AS (SELECT doc_id, CASE WHEN length(text) < 200 THEN rpad(text, 200, '_') ELSE text END AS t, CAST(doc_id % 30 AS INT) AS d FROM documents),
+    p AS (SELECT *, length(t) - 100 AS z FROM w)
+    SELECT doc_id, 'unchanged:' || t[1:10 + d] || '|deletion:' || t[11 + d:20 + d] || '|addition:' || t[21 + d:30 + d] || '|unchanged:' || t[31 + d:z] || '|addition:' || t[z + 1:] AS shown FROM p"""
 )
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that start at 1000; spans: two that overlap, one inside what is shown, and one that leaves the window."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.rpad("text", 200, "_").alias("text"), F.lit(1000).alias("window_start"))
-    at = (F.col("doc_id") % 30).cast("int") + 1010
-    s = [(at, at + 10, "deletion"), (at + 5, at + 20, "addition"), (at + 12, at + 15, "deletion"), (F.lit(1100), F.lit(1500), "addition"), (F.lit(900), F.lit(1000), "deletion")]
+    """Whole texts as windows that start at 1000; spans: two that overlap, one inside what is shown, and one that leaves the window."""
+    text = F.when(F.length("text") < 200, F.rpad("text", 200, "_")).otherwise(F.col("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit(1000).alias("window_start"))
+    at, last = (F.col("doc_id") % 30).cast("int") + 1010, F.length("text") + 900
+    s = [(at, at + 10, "deletion"), (at + 5, at + 20, "addition"), (at + 12, at + 15, "deletion"), (last, last + 400, "addition"), (F.lit(900), F.lit(1000), "deletion")]
     spans = d.select("doc_id", F.explode(F.array(*[F.struct(a.alias("span_start"), b.alias("span_end"), F.lit(k).alias("kind")) for a, b, k in s])).alias("s")).select("doc_id", "s.*")
     out = P.segments(d, spans, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(":", "kind", "segment").alias("x")))).alias("all"))
     return out.select("doc_id", F.array_join(F.transform("all", lambda a: a["x"]), "|").alias("shown"))
@@ -447,11 +450,119 @@ def numeric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, regexp_matches(role, '^user$') OR turn % 2 = 1 AS grounded FROM conversations WHERE length(text) > 60 AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%  %'"""
+    f"""WITH c AS (SELECT conv_id, turn, role = 'user' OR turn % 2 = 1 AS own, coalesce(text, '') AS text FROM conversations),
+    e AS (SELECT conv_id, turn, lower({_text("text")}) AS edit, lower({_text("CASE WHEN own THEN ' ' || text[5:44] ELSE '§ nothing of the kind §' END")}) AS evidence FROM c)
+    SELECT conv_id, turn, evidence <> '' AND (contains(edit, evidence) OR contains('short', evidence) OR (length(edit) >= 8 AND contains(evidence, edit))) AS grounded FROM e"""
 )
 def grounded_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence is cut from the text (users, odd turns) or made up."""
-    c = read(spark, sf_dir, "conversations").where(r"length(text) > 60 and text not like '%\n%' and text not like '%  %'")
+    c = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     own = (F.col("role") == "user") | (F.col("turn") % 2 == 1)
     evidence = F.when(own, F.concat(F.lit(" "), F.substring("text", 5, 40))).otherwise("§ nothing of the kind §")
     return c.select("conv_id", "turn", M.grounded(evidence, F.array("text", F.lit("short"))).alias("grounded"))
+
+
+def _labels_sql(kind: str, key: str) -> str:
+    return f"CASE {key} " + " ".join("WHEN '{}' THEN '{}'".format(*(x.replace("'", "''") for x in kv)) for kv in V.LABELS[kind].items()) + " END"
+
+
+def _nth(kind: str) -> tuple[str, ...]:
+    """A set's keys, and one that it lacks."""
+    return (*V.LABELS[kind], "other")
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, "
+    + ", ".join(f"{_labels_sql(n, '[' + ', '.join(repr(x) for x in _nth(n)) + f'][CAST(k % {len(_nth(n))} AS INT) + 1]')} AS {n}" for n in V.LABELS)
+    + ", CASE WHEN k % 3 = 0 THEN 'https://example.org/' || k ELSE 'https://www.federalregister.gov/d/' || k END AS url FROM o"
+)
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see for keys of all sets, an unknown one among them, and the page of a document with and without a URL."""
+    k = F.col("o_orderkey")
+    keys = {n: F.get(F.array(*map(F.lit, _nth(n))), (k % len(_nth(n))).cast("int")) for n in V.LABELS}
+    number = k.cast("string")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://example.org/"), number)).when(k % 3 == 1, "")
+    return read(spark, sf_dir, "orders").select("o_orderkey", *[D.label(n, c).alias(n) for n, c in keys.items()], D.official_url(url, number).alias("url"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s FROM customer)
+    SELECT CAST(k AS VARCHAR) AS doc_id, CASE WHEN k % 3 = 0 THEN '' ELSE 'RM' || k || '-1,RM' || k || '-2' END AS dockets,
+      CASE k % 4 WHEN 0 THEN upper(s) WHEN 1 THEN s WHEN 2 THEN upper(s) ELSE '' END AS agency,
+      CASE k % 4 WHEN 0 THEN s || ';Second' WHEN 1 THEN s || ';Second' WHEN 2 THEN upper(s) || ';Second' ELSE '' END AS agencies,
+      CASE WHEN k % 5 = 0 THEN '' ELSE n END AS title, CASE WHEN k % 7 = 0 THEN NULL ELSE DATE '2020-01-01' + CAST(k % 1000 AS INT) END AS publication_date,
+      CASE WHEN k % 6 = 0 THEN 'notice' WHEN k % 6 = 1 THEN 'amended' WHEN k % 6 IN (2, 4) THEN 'proposed' ELSE 'final' END AS status,
+      CASE WHEN k % 2 = 0 THEN (k % 50) || ' CFR Part ' || k ELSE '' END AS cfr FROM c"""
+)
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records with gaps, as typed metadata: dockets, agencies, dates, status and references."""
+    k, s = F.col("c_custkey"), F.col("c_mktsegment")
+    number, none = k.cast("string"), F.lit(None).cast("string")
+    first = F.struct(F.when(k % 4 != 1, F.upper(s)).alias("raw_name"), F.when(k % 4 < 2, s).alias("name"))
+    second = F.struct(none.alias("raw_name"), F.lit("Second").alias("name"))
+    empty = F.struct(none.alias("raw_name"), F.lit("").alias("name"))
+    raw = read(spark, sf_dir, "customer").select(
+        number.alias("document_number"), F.when(k % 3 != 0, F.array(F.concat(F.lit("RM"), number, F.lit("-1")), F.concat(F.lit("RM"), number, F.lit("-2")))).alias("docket_ids"),
+        F.when(k % 4 != 3, F.array(first, second, empty)).alias("agencies"), F.when(k % 5 != 0, F.col("c_name")).alias("title"),
+        F.when(k % 7 == 0, "no date").otherwise(F.date_add(F.lit("2020-01-01").cast("date"), (k % 1000).cast("int")).cast("string")).alias("publication_date"),
+        F.get(F.array(*map(F.lit, ("Notice", "Rule", "Proposed Rule", "Rule", "Rule", "Rule"))), (k % 6).cast("int")).alias("type"),
+        F.get(F.array(F.lit("Final rule."), F.lit("Order on rehearing."), none, F.lit(" Final Rule. "), F.lit("Notice of Proposed Rulemaking"), F.lit("Other")), (k % 6).cast("int")).alias("action"),
+        F.lit(1).alias("page_length"), none.alias("html_url"), none.alias("full_text_xml_url"), none.alias("abstract"), none.alias("comments_close_on"), none.alias("effective_on"), none.alias("dates"),
+        F.array(F.struct((k % 50).cast("int").alias("title"), F.when(k % 2 == 0, number).alias("part")), F.struct(F.lit(None).cast("int").alias("title"), F.lit("9").alias("part"))).alias("cfr_references"),
+    )
+    return records.meta(raw).select(
+        "doc_id", F.array_join("docket_ids", ",").alias("dockets"), "agency", F.array_join("agencies", ";").alias("agencies"), "title", "publication_date", "status", F.array_join("cfr_references", ",").alias("cfr"),
+    )
+
+
+@query(
+    """WITH f AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN 'frDocNumber is missing' WHEN event_id % 13 = 0 THEN 'cardId is missing'
+      WHEN event_id % 5 = 3 THEN 'verdict is unknown' WHEN event_id % 17 = 0 THEN 'note is too long' END AS error FROM events)
+    SELECT user_id, count(*) FILTER (error IS NULL) AS logged, count(*) FILTER (error IS NOT NULL) AS refused FROM f GROUP BY ALL"""
+)
+def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts appended to the log, where they are valid, and read back by document."""
+    k = F.col("event_id")
+    none = F.lit(None).cast("string")
+    verdict = F.get(F.array(*map(F.lit, (*V.VERDICTS, "maybe", "agree"))), (k % 5).cast("int"))
+    rows = read(spark, sf_dir, "events").select(
+        none.alias("id"), F.when(k % 11 != 0, F.col("user_id").cast("string")).alias("frDocNumber"), F.when(k % 13 == 0, "").otherwise(k.cast("string")).alias("cardId"), verdict.alias("verdict"),
+        F.when(k % 17 == 0, F.repeat(F.lit("x"), 2001)).otherwise("fine").alias("note"), F.lit(None).cast("timestamp").alias("createdAt"), "user_id",
+    )
+    path = new_path(spark, "feedback")
+    refused = records.add_feedback(rows, path).groupBy("user_id").agg(F.count("*").alias("refused"))
+    log = records.read_feedback(spark, path).groupBy(F.col("frDocNumber").cast("long").alias("user_id")).agg(F.count("*").alias("logged"))
+    met = log.join(refused.withColumn("user_id", F.col("user_id").cast("long")), "user_id", "full")
+    return met.select("user_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("logged", "refused")])
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_text("text")} AS t, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT doc_id, t, k, length(t) // 2 AS h, length(t) // 5 AS a, trim(t[length(t) // 5 + 1:length(t) // 5 + 60]) AS quote, t[1:length(t) // 2] AS half FROM c),
+    n AS (SELECT *, CASE WHEN quote = '' THEN 0 ELSE len(list_filter(range(length(half) - length(quote) + 1), lambda i: half[i + 1:i + length(quote)] = quote)) END AS n FROM q)
+    SELECT doc_id, CASE WHEN k = 2 AND doc_id % 2 = 0 THEN 'section-not-found' WHEN n = 0 THEN 'not-found' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS result,
+      CASE WHEN n = 1 AND NOT (k = 2 AND doc_id % 2 = 0) THEN CASE WHEN k = 1 AND contains(quote, ' ') THEN 'normalized' ELSE 'exact' END END AS match,
+      CASE WHEN n = 1 AND NOT (k = 2 AND doc_id % 2 = 0) THEN CAST(length(half) - length(split_part(half, quote, 2)) - length(quote) AS INT) END AS original_start FROM n"""
+)
+def locate_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of the collapsed documents in their first half as a section: as they are, with doubled spaces, in a section that lacks."""
+    t = T.collapse("text")
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.alias("text"))
+    cut = T.trim(F.substring(F.col("text"), F.floor(F.length("text") / 5).cast("int") + 1, F.lit(60)))
+    quote = F.when(F.col("doc_id") % 3 == 1, F.replace(cut, F.lit(" "), F.lit("  "))).otherwise(cut)
+    scope = F.when((F.col("doc_id") % 3 == 2) & (F.col("doc_id") % 2 == 0), "9").otherwise("1")
+    sections = d.select("doc_id", F.lit("1").alias("section_id"), F.lit(0).alias("span_start"), F.floor(F.length("text") / 2).cast("int").alias("span_end"))
+    out = C.locate_within(d.select("doc_id", scope.alias("scope"), quote.alias("quote")), d, sections)
+    return out.select("doc_id", "result", "match", "original_start")
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, text, {_text("text")} AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT *, length(t) // 3 AS p FROM c WHERE t <> '')
+    SELECT doc_id, CAST(p AS INT) AS normal_at, CASE WHEN t[p + 1:p + 1] = ' ' THEN t[p + 2:p + 2] ELSE t[p + 1:p + 1] END AS symbol FROM w"""
+)
+def original_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in each document's normal form, taken back to the original: the same character stands there, for a space the next."""
+    d = read(spark, sf_dir, "documents").where("text is not null").where(~T.is_blank("text"))
+    p = F.floor(F.length(T.collapse("text")) / 3).cast("int")
+    at = C.original_at(F.col("text"), p)
+    return d.select("doc_id", p.alias("normal_at"), F.substring(F.col("text"), at + 1, F.lit(1)).alias("symbol"))

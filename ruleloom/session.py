@@ -17,19 +17,23 @@ def session(name: str = "ruleloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the folder of spark.checkpoint.dir, which driver and executors share.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder of spark.checkpoint.dir, which driver and executors share.
 
-    Steps that several others read are written once: that cuts their lineage and outlives lost executors. Where the
-    setting is unset and Spark runs in one process, a new temporary folder serves.
+    Where the setting is unset and Spark runs in one process, a new temporary folder serves.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         top = spark.sparkContext.getCheckpointDir()
-    path = f"{top}/ruleloom-{name}-{uuid.uuid4().hex}"
+    return f"{top}/ruleloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to a new path. Steps that several others read are written once: that cuts their lineage and
+    outlives lost executors."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

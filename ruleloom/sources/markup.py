@@ -18,18 +18,25 @@ from pyspark.sql.types import StructType
 
 from ruleloom.functions import vocabulary as V
 
-ELEMENT = "struct<seq:int,tag:string,attrs:map<string,string>,ancestors:array<string>,span_start:int,span_end:int>"
+#: Documents whose elements are built together.
+TOGETHER = 64
+ELEMENT = "struct<seq:int,tag:string,attrs:map<string,string>,ancestors:array<string>,span_start:int,span_end:int,text:string>"
 
 
 class _Projection:
-    """Collects text and spans while expat reads."""
+    """Collects text and spans while expat reads; elements as columns, in order of their starts."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
         self.size = 0
         self.last = ""
-        self.elements: list[dict] = []
-        self.open: list[dict] = []
+        self.tags: list[str] = []
+        self.attrs: list[dict[str, str]] = []
+        self.paths: list[tuple[str, ...]] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.open: list[int] = []
+        self.path: tuple[str, ...] = ()
         self.skipping = 0
 
     def add(self, text: str) -> None:
@@ -39,59 +46,90 @@ class _Projection:
             self.last = text[-1]
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        path = [e["tag"] for e in self.open]
-        mark = tag == V.FOOTNOTE_MARK and V.FOOTNOTE not in path
+        mark = tag == V.FOOTNOTE_MARK and V.FOOTNOTE not in self.path
         if self.skipping or mark or tag in V.SKIPPED_TAGS:
             self.skipping += 1
-        e = {"seq": len(self.elements), "tag": tag, "attrs": attrs, "ancestors": path, "span_start": self.size, "span_end": self.size}
-        self.elements.append(e)
-        self.open.append(e)
+        self.open.append(len(self.tags))
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.paths.append(self.path)
+        self.starts.append(self.size)
+        self.ends.append(self.size)
+        self.path += (tag,)
 
     def chars(self, text: str) -> None:
         if not self.skipping:
             self.add(text)
 
     def end(self, tag: str) -> None:
-        e = self.open.pop()
+        self.path = self.path[:-1]
         self.skipping -= self.skipping > 0
         if tag in V.BLOCK_TAGS and self.last != "\n":
             self.add("\n")
-        e["span_end"] = self.size
+        self.ends[self.open.pop()] = self.size
 
 
-def read_xml(xml: str) -> tuple[str, list[dict], str | None]:
+def read_xml(xml: str) -> tuple[str, _Projection, str | None]:
     p, parser, error = _Projection(), expat.ParserCreate(), None
+    parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = p.start, p.end, p.chars
     try:
         parser.Parse(xml.encode(), True)
     except expat.ExpatError as e:
         error = str(e)
-    return "".join(p.parts), p.elements, error
+    return "".join(p.parts), p, error
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    out = [0]
+    for n in sizes:
+        out.append(out[-1] + n)
+    return pa.array(out, pa.int32())
+
+
+def _elements(texts: list[str], found: list[_Projection]) -> pa.Array:
+    """The elements of each document as one list column, built from flat columns."""
+    attrs = [a for p in found for a in p.attrs]
+    paths = [x for p in found for x in p.paths]
+    maps = pa.MapArray.from_arrays(_offsets(list(map(len, attrs))), pa.array([k for a in attrs for k in a], pa.string()), pa.array([v for a in attrs for v in a.values()], pa.string()))
+    above = pa.ListArray.from_arrays(_offsets(list(map(len, paths))), pa.array([t for x in paths for t in x], pa.string()))
+    columns = {
+        "seq": pa.array([i for p in found for i in range(len(p.tags))], pa.int32()),
+        "tag": pa.array([t for p in found for t in p.tags], pa.string()),
+        "attrs": maps,
+        "ancestors": above,
+        "span_start": pa.array([x for p in found for x in p.starts], pa.int32()),
+        "span_end": pa.array([x for p in found for x in p.ends], pa.int32()),
+        "text": pa.array([t[a:b] for t, p in zip(texts, found, strict=True) for a, b in zip(p.starts, p.ends, strict=True)], pa.string()),
+    }
+    return pa.ListArray.from_arrays(_offsets([len(p.tags) for p in found]), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
 def project(raw: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
-    """doc_id, text, elements, error of each document; a null document gives an empty text."""
-    kind = raw.schema[id_col].dataType.simpleString()
+    """doc_id, text, elements, error of each document; a null document gives an empty text.
 
+    Elements carry their own text, so that no later step cuts it out of the document's; nested ones share it, so the
+    column has about as many times the document's size as elements nest.
+    """
+    kind = raw.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, text string, elements array<{ELEMENT}>, error string"
     own = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text, found, error = read_xml(xml) if xml else ("", [], None)
-                rows.append({"doc_id": i, "text": text, "elements": [e | {"attrs": list(e["attrs"].items())} for e in found], "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema=own)
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                read = [read_xml(xml) if xml else ("", _Projection(), None) for xml in some.column(1).to_pylist()]
+                texts, found = [r[0] for r in read], [r[1] for r in read]
+                columns = [some.column(0), pa.array(texts, pa.string()), _elements(texts, found), pa.array([r[2] for r in read], pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, own, strict=True)], schema=own)
 
     return raw.select(F.col(id_col).alias("doc_id"), F.col(xml_col).alias("xml")).mapInArrow(run, schema)
 
 
 def elements(projected: DataFrame) -> DataFrame:
     """One row per element: doc_id, seq, tag, attrs, ancestors, span_start, span_end, text."""
-    e = projected.select("doc_id", "text", F.explode("elements").alias("e")).select("doc_id", "e.*", "text")
-    own = F.substring(F.col("text"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
-    return e.withColumn("text", own)
+    return projected.select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*")
 
 
 def html_tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
