@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
-from ruleloom.operators.spans import asof
+from ruleloom.operators.spans import asof, with_text
 
 DETAIL = 80
 
@@ -46,8 +46,8 @@ def gate_rate(verified: DataFrame) -> DataFrame:
 
 def cite(spans: DataFrame, doc_text: DataFrame, sections: DataFrame) -> DataFrame:
     """spans (doc_id, span_start, span_end, ...) with the quote they enclose and the innermost section at their start."""
-    met = spans.drop("section_id").join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id")
-    met = met.withColumn("quote", T.cut("__text", F.col("span_start"), F.col("span_end"))).drop("__text")
+    met = with_text(spans.drop("section_id"), doc_text, F.col("span_start"), F.col("span_end"))
+    met = met.withColumn("quote", T.cut("window", F.col("span_start") - F.col("window_at"), F.col("span_end") - F.col("window_at"))).drop("window", "window_at")
     return asof(met, sections, "doc_id", "span_start", "span_start", ["section_id"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
+from ruleloom.operators.spans import with_text
 from ruleloom.operators.structure import section_at
 
 DELETION = r"\[([^\[\]]*)\]"
@@ -71,10 +72,11 @@ def extraction_reason(docs: DataFrame, regions: DataFrame) -> DataFrame:
 def group_edits(edits: DataFrame, doc_text: DataFrame, most: int = 0) -> DataFrame:
     """Adds group_id: an edit joins the one before it unless they overlap or over most characters (trimmed) lie between."""
     order = Window.partitionBy("doc_id").orderBy("span_start", "span_end")
-    e = edits.withColumn("__end", F.lag("span_end").over(order)).join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id")
-    between = F.length(T.trim(T.cut("__text", F.col("__end"), F.col("span_start"))))
+    e = edits.withColumn("__end", F.lag("span_end").over(order))
+    e = with_text(e, doc_text, F.least(F.coalesce("__end", "span_start"), F.col("span_start")), F.col("span_start"))
+    between = F.length(T.trim(T.cut("window", F.col("__end") - F.col("window_at"), F.col("span_start") - F.col("window_at"))))
     joins = (F.col("span_start") >= F.col("__end")) & (between <= most)
-    e = e.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).drop("__text", "__end")
+    e = e.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).drop("window", "window_at", "__end")
     return e.withColumn("group_id", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
@@ -97,8 +99,10 @@ def revisions(grouped: DataFrame, sections: DataFrame, doc_text: DataFrame, cont
     )
     g = g.withColumn("section_id", F.get("edits", F.lit(0))["section_id"])
     s = sections.select("doc_id", "section_id", F.col("span_start").alias("lo"), F.col("span_end").alias("hi"))
-    g = g.join(s, ["doc_id", "section_id"], "left").join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id")
-    start = F.greatest(F.col("lo"), F.col("span_start") - context)
+    g = g.join(s, ["doc_id", "section_id"], "left")
+    start = F.greatest(F.lit(0), F.col("lo"), F.col("span_start") - context)
     end = F.least(F.col("hi"), F.col("span_end") + context)
-    both = {side: reading(F.col("__text"), F.col("edits"), start, end, kind) for side, kind in (("before", "deletion"), ("after", "addition"))}
+    g = with_text(g, doc_text, start, F.greatest(end, F.col("span_end")))
+    own = F.transform("edits", lambda e: F.struct((e["span_start"] - F.col("window_at")).alias("span_start"), (e["span_end"] - F.col("window_at")).alias("span_end"), e["kind"].alias("kind"), e["text"].alias("text")))
+    both = {side: reading(F.col("window"), own, start - F.col("window_at"), end - F.col("window_at"), kind) for side, kind in (("before", "deletion"), ("after", "addition"))}
     return g.select("doc_id", "group_id", "section_id", "span_start", "span_end", "edits", *[c.alias(k) for k, c in both.items()])

@@ -66,6 +66,30 @@ def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     return out.select(by, "window_start", "seq", F.col("p.kind").alias("kind"), text.alias("segment"))
 
 
+#: Characters from one piece of a text to the next; a piece holds twice as many.
+PIECE = 1 << 16
+
+
+def pieces(doc_text: DataFrame, size: int = PIECE) -> DataFrame:
+    """doc_id, piece, text: overlapping pieces of each text, cut in one pass. A span of up to size characters lies in one."""
+    found = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{0,{2 * size}}})).{{1,{size}}}"), F.lit(1))
+    return doc_text.select("doc_id", F.posexplode(found).alias("piece", "text"))
+
+
+def with_text(spans: DataFrame, doc_text: DataFrame, start: Column, end: Column, size: int = PIECE) -> DataFrame:
+    """spans with window, some of their document's text from window_at on that holds start to end.
+
+    Each span meets one piece, so a document of many spans is not walked from its start for each; only spans that no
+    piece holds meet the whole text.
+    """
+    k = F.floor(start / size).cast("int")
+    s = spans.withColumns({"__k": k, "__near": end - k * size <= 2 * size})
+    near = s.where("__near").join(pieces(doc_text, size).select("doc_id", F.col("piece").alias("__k"), F.col("text").alias("window")), ["doc_id", "__k"], "left")
+    far = s.where("not __near").join(doc_text.select("doc_id", F.col("text").alias("window")), "doc_id")
+    out = near.withColumn("window_at", F.col("__k") * size).unionByName(far.withColumn("window_at", F.lit(0)))
+    return out.withColumn("window", F.coalesce("window", F.lit(""))).drop("__k", "__near")
+
+
 def collapse_repeats(rows: DataFrame, by: list[str], key: Column, text: str, seq: str, clip: int = 260) -> DataFrame:
     """Rows with equal keys as one: first text (clipped), number, first place."""
     return rows.groupBy(*by, key.alias("key")).agg(

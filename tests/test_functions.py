@@ -5,6 +5,7 @@ from ruleloom.functions import decisions as D
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators import rules as R
+from ruleloom.operators import spans as P
 from ruleloom.operators.briefing import focus
 
 
@@ -144,3 +145,14 @@ def test_focus(spark):
     text = ask(spark, focus(X, F.lit(at)), long)[0]
     assert text["text"].startswith("The signal is here") and len(text["text"]) == 900 and text["clipped_start"] and text["clipped_end"]
     assert tuple(ask(spark, focus(X, F.lit(None)), "short")[0]) == ("short", False, False)
+
+
+def test_text_of_spans_from_pieces(spark):
+    """Whatever the pieces' size, a span gets the text that its document has there."""
+    texts = {1: "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(57)), 2: "short", 3: "x" * 20}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    rows = [(i, a, b) for i, t in texts.items() for a in range(0, len(t) + 1, 3) for b in (a, a + 1, a + 9, len(t)) if a <= b <= len(t)]
+    spans = spark.createDataFrame(rows, "doc_id int, a int, b int")
+    for size in (5, 20, 1 << 16):
+        out = P.with_text(spans, docs, F.col("a"), F.col("b"), size).collect()
+        assert len(out) == len(rows) and all(r["window"][r["a"] - r["window_at"] : r["b"] - r["window_at"]] == texts[r["doc_id"]][r["a"] : r["b"]] for r in out)
