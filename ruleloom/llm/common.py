@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the token definition used here: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows that go to Python in one Arrow batch; texts may be long, so this is kept small.
-ARROW_ROWS = 1024
+#: Rows and bytes that go to Python in one Arrow batch, at most but for one row that is larger.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -23,6 +23,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session, as one batch of long texts must fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,3 +67,22 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     df should be a written table, as it is counted and then read again.
     """
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+#: A key of more rows is hot, unless a larger bound is needed to keep hot keys few.
+HOT = 10_000
+
+
+def join_one(df: DataFrame, keyed: DataFrame, key: str, count: str, row_bytes: int) -> DataFrame:
+    """df with the row of keyed for its key (inner); keyed, a written table, has one row a key and its rows in df.
+
+    A small table is broadcast whole. Else hot keys are: as their rows add up to df's at most, so many rows of keyed
+    hold them that they fit BROADCAST_BYTES. Their rows in df stay where they are and no task gets a hot key's rows.
+    """
+    n, total = keyed.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(keyed), key)
+    most = max(HOT, total * row_bytes // BROADCAST_BYTES)
+    hot = keyed.where(F.col(count) > most)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(count) <= most), key)
+    return df.join(F.broadcast(hot), key).unionByName(rest)

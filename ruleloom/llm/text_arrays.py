@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 LONG = 128
 U = np.uint64
 _SPACE = np.zeros(256, bool)
