@@ -6,8 +6,10 @@ linear time by the identity 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 It is fitted on at most SAMPLE labelled rows, drawn by hash, in one task; the model's size is fixed. Every row is then
 scored on its whole text in one pass without a shuffle. A null text counts as empty; such texts get the score that
-their statistics give. Without usable labels every score is 0.5, and with
-one label only all scores are equal. Equal texts have equal scores.
+their statistics give. A null id is never held out and has no label. Of rows that share a labelled id one text, that
+of the least hash, is learnt. Labels other than 0 and 1 are left out; of several labels of an id the smallest counts.
+Without usable labels every score is 0.5, and with one label only all scores are equal. Equal texts have equal scores.
+An empty table gives an empty result; extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -133,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_y"))
     n = known.count()
     order = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 40))
-    drawn = known.where(order < F.lit(int(min(1.0, 0.97 * sample / max(n, 1)) * (1 << 40)))).limit(sample)
+    drawn = known.where(order < F.lit(int(min(1.0, 1.1 * sample / max(n, 1)) * (1 << 40)))).orderBy(order, id_col).limit(sample)
     drawn = drawn.select(F.col(id_col).alias("_id"), F.col("_y").cast("int").alias("_y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))  # no more rows than labels
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,7 +184,7 @@ def score(df: DataFrame, model: bytes, text: Column) -> Column:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
