@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept: documents that the quality classifier rejects go; of equal texts the
 first stays; of near-duplicate texts (five-word shingles, similarity 0.8 or more) the first stays; sources are mixed
 to their target weights, so documents may go or repeat; the last stage gives all pieces' places in sequences.
+
+A null text counts as empty. Rows with null or repeated ids are rows like others: exact dedup goes by text, and of equal
+texts the row of the smallest id stays (null ids last); near-duplicates go by id and text. A null source is a source
+of its own. Mixing takes no document without words, so null and empty texts end there. Empty tables pass all stages.
+All stages but the last keep the columns as they are, whatever further ones there are and however they are named.
 """
 
 from __future__ import annotations
