@@ -1,19 +1,33 @@
-"""Connected components by alternating stars; no step needs more than a node's smallest neighbour."""
+"""Connected components by alternating stars; no step needs more than a node's smallest neighbour.
+
+Each round joins every edge with its node's smallest neighbour. Where there are few edges, that table is broadcast; else
+hubs are joined apart, so that no task gets a hub's whole neighbourhood. The rounds needed grow with the logarithm of the longest path, so MOST_ROUNDS is out of
+reach; it turns a fault into an error instead of an endless loop.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import scratch
+from ruleloom.llm.common import BROADCAST_BYTES, join_one, scratch
 
 MOST_ROUNDS = 60
+#: Of a node, its smallest neighbour and its degree.
+NODE_BYTES = 64
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _met(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges with the row of least (a, m, degree) of their node a; n: the edges' number, so there are at most 2 n nodes."""
+    if 2 * n * NODE_BYTES <= BROADCAST_BYTES:
+        return edges.join(F.broadcast(least), "a")
+    return join_one(edges, scratch(least, "least"), "a", "degree", NODE_BYTES)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b of any ordered type. (id, root): the smallest id that each linked id reaches; roots themselves are left out."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -24,12 +38,12 @@ def components(links: DataFrame) -> DataFrame:
             break
         # large star: each node's larger neighbours go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+        large = _met(both, least, before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node and its smaller neighbours go to the smallest of these
         large = scratch(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        met = _met(large, least, before[0])  # a large star has no more edges
         small = met.select("a", F.col("m").alias("b")).unionByName(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = scratch(small.distinct(), "small-star")
         after = _state(edges)

@@ -2,13 +2,17 @@
 
 1. Equal sets become one set. Shingles get one global order: those of a fixed-size count sketch's crowded cells last,
    the others by hash. Any two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1.
-2. Sets with the same prefix and size form a group. Groups that share a prefix shingle and whose sizes allow the
-   threshold are pairs. In a crowded shingle's bucket the groups are first paired with one hub only.
+2. Sets with the same prefix and size form a group. Groups that share a prefix shingle, and whose sizes and places of
+   that shingle allow the threshold, are pairs. In a crowded shingle's bucket groups are first paired with one hub only.
 3. Group pairs expand to pairs of sets; a parity signature bounds each pair's difference from below and drops most;
    the rest are verified on the whole sets.
-4. Links give components. Where a crowded bucket then still holds several components, all its pairs between different
-   ones are tried (signature, then verification); pairs within a component can't change the result. So no link
-   between components is lost, and a cluster of m near copies costs about m comparisons instead of m squared.
+4. Links give components. Where a crowded bucket then still holds several components, its sets meet HUBS more hubs of
+   other components, in up to ROUNDS rounds: members of a cluster of near copies soon share one component, at about m
+   comparisons a round instead of m squared.
+5. Buckets that even then hold several components are searched by parts. Sets that reach the threshold differ in at
+   most D shingles; dealt by hash into more than D parts, they agree in at least one. Sets of a crowded bucket that
+   agree in a part, that of the part's largest component against the others, are verified. Pairs within a component
+   can't change the result, so no link between components is lost, whatever a bucket's size.
 
 Shingles are 64-bit hashes of words; sets, links and sizes are exact but for their collisions. A document without
 words has an empty set and links with nothing; one with fewer words than n has its whole sequence as one shingle.
@@ -35,12 +39,15 @@ CELLS = 1 << 22
 BLOCK = 1 << 16
 #: A cell is crowded from so many above twice the mean on. This sets the order's quality, not the result.
 CROWDED = 8
-#: Larger buckets are searched by a hub and components.
-LARGE = 16
+#: Larger buckets are searched by hubs, components and parts; in others all pairs meet.
+LARGE = 256
 #: So many shingles that recur in prefixes are sent to the workers as a sorted array; more are joined instead.
 SENT = 8 << 20
 #: Sets of a group that stay together.
 GROUP = 16
+#: Rounds of hubs, and hubs of a crowded bucket in each. They set the speed: what they leave open goes by parts.
+ROUNDS = 1
+HUBS = 16
 #: 64-bit words of a signature at least; a larger set has as many bits as shingles, rounded up to a power of two.
 WORDS = 16
 FOLDED = 4  # words of its short form
@@ -162,21 +169,57 @@ def _sizes(num: int, den: int) -> str:
     return f"{num} * greatest(n_a, n_b) <= {den} * least(n_a, n_b)"
 
 
+def _places(num: int, den: int) -> str:
+    """Whether sets whose first shingle in common has these places, from 1 on, can have enough in common from there on."""
+    return f"({den} + {num}) * (least(n_a - pos_a, n_b - pos_b) + 1) >= {num} * (n_a + n_b)"
+
+
+def bands(most: int, num: int, den: int) -> list[int]:
+    """The first size of each band, up to one beyond most: linked sets lie in the same band or in neighbours."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+def parts_of(s: np.ndarray, first: list[int], num: int, den: int) -> np.ndarray:
+    """Keys of a set's parts: any two sets that reach the threshold share one.
+
+    With the smaller set in band b, of sizes below m, the sets differ in at most D = (den - num) / num * (m - 1)
+    shingles. Of P > D parts at least P - D agree. A set with fewer empty parts than that leaves those out, as one that
+    agrees isn't empty; if both sets have more, both keep theirs.
+    """
+    out, band = [np.zeros(0, U)], int(np.searchsorted(first, len(s), side="right")) - 1
+    with np.errstate(over="ignore"):
+        mixed = mix(s * U(0x9FB21C651E98DF25) + U(1))
+        for b in {max(0, band - 1), band}:
+            d = (den - num) * (first[b + 1] - 1) // num
+            p = d + 2 + d // 16
+            at = ((mixed >> U(32)) % U(p)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            held, begin = np.unique(at[order], return_index=True)
+            sums = np.zeros(p, U)
+            sums[held] = np.add.reduceat(mixed[order], begin) if len(s) else 0
+            keys = mix(sums + mix(np.arange(p, dtype=U) * U(0xD6E8FEB86659FD93) + U(b)))
+            out.append(keys[held] if p - len(held) < p - d else keys)
+    return np.concatenate(out)
+
+
 def _side(df: DataFrame, side: str, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "token" else f"{c}_{side}") for c in names])
 
 
 def _recurring(often: DataFrame):
-    """Filters an array of shingles to those of a bounded table."""
+    """The places, from 1 on, of those of an array's shingles that a bounded table holds."""
     keys = np.sort(often.select("token").toArrow()["token"].to_numpy())
     shared = often.sparkSession.sparkContext.broadcast(keys)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def keep(prefixes: pd.Series) -> pd.Series:
         known, out = shared.value, []
         for p in prefixes:
             at = np.minimum(np.searchsorted(known, p), max(0, len(known) - 1))
-            out.append(p[known[at] == p] if len(known) else p[:0])
+            out.append((1 + np.flatnonzero(known[at] == p)).astype(np.int32) if len(known) else np.zeros(0, np.int32))
         return pd.Series(out)
 
     return keep
@@ -185,37 +228,44 @@ def _recurring(often: DataFrame):
 class _Join:
     def __init__(self, rows: DataFrame, described: DataFrame, n: int, num: int, den: int) -> None:
         self.rows, self.described, self.n, self.num, self.den = rows, described.where("n > 0"), n, num, den
-        # equal sets fall together in collect_set, before the shuffle where they can
-        crowd = self.described.select("key", "set").distinct().groupBy("key").agg(F.count("*").alias("k")).where(f"k > {2 * GROUP}")
-        dealt = self.described.join(broadcast_if_small(scratch(crowd, "crowd"), 32), "key", "left")
+        # a row whose key no other has is a group by itself and doesn't shuffle; equal sets fall together in collect_set
+        several = scratch(self.described.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "several")
+        several = broadcast_if_small(several, 32)
+        met = self.described.join(several, "key")
+        crowd = met.select("key", "set").distinct().groupBy("key").agg(F.count("*").alias("k")).where(f"k > {2 * GROUP}")
+        dealt = met.join(broadcast_if_small(scratch(crowd, "crowd"), 32), "key", "left")
         deal = F.coalesce(F.pmod(F.xxhash64("set"), F.ceil(F.col("k") / GROUP)), F.lit(0))
         groups = dealt.groupBy("key", "n", "prefix", deal.alias("deal")).agg(F.collect_set(F.struct("set", "sig", "fold")).alias("members"))
+        groups = scratch(groups.select("n", "prefix", "members"), "groups")
+        alone = self.described.join(several, "key", "left_anti").select("n", "prefix", F.array(F.struct("set", "sig", "fold")).alias("members"))
         # a collision of node numbers only adds pairs, which are verified on the sets
         node = F.xxhash64(F.array_min(F.transform("members", lambda m: m["set"])))
-        self.groups = scratch(groups.select(node.alias("node"), "n", "prefix", "members"), "groups")
+        self.groups = alone.unionByName(groups).select(node.alias("node"), "n", "prefix", "members")
         every = self.groups.select(F.explode("prefix").alias("token"))
         often = scratch(every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "often")
         groups = self.groups.select("node", "n", "prefix", F.when(F.size("members") == 1, F.col("members")[0]["fold"]).alias("fold"))
         large = broadcast_if_small(scratch(often.where(f"c > {LARGE}").select("token", F.lit(True).alias("large")), "large"), 72)
         if often.count() <= SENT:
-            tokens = groups.select("node", "n", "fold", F.explode(_recurring(often)(F.col("prefix"))).alias("token"))
+            known = F.transform(_recurring(often)(F.col("prefix")), lambda p: F.struct(F.element_at("prefix", p).alias("token"), p.alias("pos")))
+            tokens = groups.select("node", "n", "fold", F.inline(known))
         else:
-            tokens = groups.select("node", "n", "fold", F.explode("prefix").alias("token")).join(often.select("token"), "token", "left_semi")
+            every = groups.select("node", "n", "fold", F.posexplode("prefix").alias("pos", "token"))
+            tokens = every.withColumn("pos", F.col("pos") + 1).join(often.select("token"), "token", "left_semi")
         tokens = tokens.join(large, "token", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-        self.tokens = scratch(tokens, "tokens")
+        self.tokens = scratch(tokens.select("token", "pos", "node", "n", "fold", "large"), "tokens")
 
     def group_pairs(self) -> DataFrame:
         """Pairs of groups (node_a < node_b): all in small buckets; in large ones each with a hub of about its size."""
-        near = _maybe_near(self.num, self.den)
-        small = self.tokens.where("not large")
-        a, b = _side(small, "a", "token", "node", "n", "fold"), _side(small, "b", "token", "node", "n", "fold")
-        met = a.join(b, (a["token"] == b["token"]) & F.expr(f"node_a < node_b and {_sizes(self.num, self.den)} and {near}")).select("node_a", "node_b")
+        near = f"{_sizes(self.num, self.den)} and {_places(self.num, self.den)} and {_maybe_near(self.num, self.den)}"
+        small, names = self.tokens.where("not large"), ["token", "pos", "node", "n", "fold"]
+        a, b = _side(small, "a", *names), _side(small, "b", *names)
+        met = a.join(b, (a["token"] == b["token"]) & F.expr(f"node_a < node_b and {near}")).select("node_a", "node_b")
         large = self.tokens.where("large")
         large = large.withColumn("band", F.floor(F.log("n") / F.log(F.lit(self.den / self.num))))
-        hubs = large.groupBy("token", "band").agg(F.min_by(F.struct("node", "n", "fold"), "node").alias("hub"))
+        hubs = large.groupBy("token", "band").agg(F.min_by(F.struct("node", "n", "fold", "pos"), "node").alias("hub"))
         star = large.join(hubs, ["token", "band"]).where("node <> hub.node")
-        star = star.selectExpr("node as node_a", "n as n_a", "fold as fold_a", "hub.node as node_b", "hub.n as n_b", "hub.fold as fold_b")
-        star = star.where(f"{_sizes(self.num, self.den)} and {near}").select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
+        star = star.selectExpr("node as node_a", "n as n_a", "fold as fold_a", "pos as pos_a", "hub.node as node_b", "hub.n as n_b", "hub.fold as fold_b", "hub.pos as pos_b")
+        star = star.where(near).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
         return met.unionByName(star).distinct()
 
     def set_pairs(self) -> DataFrame:
@@ -230,13 +280,10 @@ class _Join:
         met = met.selectExpr("n_a", "n_b", "x.set as set_a", "y.set as set_b", "x.sig as sig_a", "y.sig as sig_b", "x.fold as fold_a", "y.fold as fold_b").where(_near(self.num, self.den))
         return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold; their sets are made anew from the texts of one document each."""
-        n, num, den = self.n, self.num, self.den
-        pairs = scratch(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        wanted = broadcast_if_small(scratch(wanted, "wanted"), 48)
-        found = self.described.select("set", "_id").join(wanted, "set")
+    def made(self, sets: DataFrame) -> DataFrame:
+        """set, s: the shingles of sets (a written table), made anew from the text of one document each."""
+        n = self.n
+        found = self.described.select("set", "_id").join(broadcast_if_small(sets, 48), "set")
         wanted = scratch(found.groupBy("set").agg(F.min("_id").alias("_id")), "found")
         ids = broadcast_if_small(scratch(wanted.select("_id").distinct(), "ids"), 32)
         texts = self.rows.join(ids.withColumnRenamed("_id", "_want"), F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
@@ -247,7 +294,15 @@ class _Join:
                 yield pd.DataFrame({"set": [_digest(s) for s in found], "s": [s.tobytes() for s in found]})
 
         made = texts.mapInPandas(make, "set binary, s binary").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
-        made = scratch(made, "made")
+        return scratch(made, "made")
+
+    def verified(self, pairs: DataFrame, made: DataFrame | None = None) -> DataFrame:
+        """The pairs that reach the threshold; made has their sets' shingles, if they are there already."""
+        num, den = self.num, self.den
+        pairs = scratch(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        wanted = scratch(wanted, "wanted")
+        made = self.made(wanted) if made is None else made.join(broadcast_if_small(wanted, 48), "set", "left_semi")
 
         @F.pandas_udf("boolean")
         def reach(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -264,17 +319,73 @@ class _Join:
         )
         return scratch(met.where(reach("s_a", "s_b")).select("a", "b"), "verified")
 
-    def rest_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of different components in large buckets."""
-        large = self.tokens.where("large").select("token", "node")
-        members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
-        met = large.join(members, "node").join(roots.withColumnRenamed("id", "set"), "set", "left")
-        met = met.withColumn("root", F.coalesce("root", "set"))
-        open_ = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        met = scratch(met.join(open_, "token").select("token", "n", "set", "sig", "fold", "root"), "open")
-        a, b = (_side(met, s, "token", "n", "set", "sig", "fold", "root") for s in "ab")
-        both = a.join(b, (a["token"] == b["token"]) & F.expr(f"root_a < root_b and {_sizes(self.num, self.den)} and {_near(self.num, self.den)}"))
-        return both.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+    def open_sets(self, roots: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """The sets of large buckets that hold several components: set, n, sig, fold, tokens (of such buckets), root."""
+        roots = roots.withColumnRenamed("id", "set")
+        if before is None:
+            large = self.tokens.where("large").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+            members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
+            before = large.join(members, "node")
+        met = before.select("set", "n", "sig", "fold", "tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        met = scratch(met, "in-large")
+        token = met.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        token = scratch(token.where("lo <> hi").select("token"), "open-buckets")
+        held = met.select("set", F.explode("tokens").alias("token")).join(broadcast_if_small(token, 24), "token")
+        held = held.groupBy("set").agg(F.collect_list("token").alias("tokens"))
+        return scratch(met.drop("tokens").join(held, "set"), "open")
+
+    def hub_pairs(self, open_: DataFrame, k: int) -> DataFrame:
+        """Pairs of sets of open buckets with hubs of other components; each set in one of its buckets, another in each round k."""
+        bucket = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(k))))
+        band = F.floor(F.log("n") / F.log(F.lit(self.den / self.num)))
+        met = open_.select(bucket.alias("token"), band.alias("band"), "n", "set", "sig", "fold", "root")
+        deal = F.xxhash64("set", F.lit(k))
+        hubs = met.groupBy("token", "band", F.pmod(deal, F.lit(HUBS)).alias("slot")).agg(F.min_by(F.struct("n", "set", "sig", "fold", "root"), deal).alias("hub"))
+        hubs = hubs.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "hub.*").withColumnsRenamed({c: f"{c}_b" for c in ("n", "set", "sig", "fold", "root")})
+        met = met.withColumnsRenamed({c: f"{c}_a" for c in ("n", "set", "sig", "fold", "root")})
+        met = met.join(hubs, ["token", "band"]).where(F.expr(f"root_a <> root_b and {_sizes(self.num, self.den)} and {_near(self.num, self.den)}"))
+        return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+    def part_pairs(self, open_: DataFrame, made: DataFrame) -> DataFrame:
+        """Pairs of open sets of different components that agree in a part."""
+        num, den = self.num, self.den
+        first = bands(int(open_.agg(F.max("n")).first()[0]), num, den)
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 64):
+                    some = batch.iloc[at : at + 64]
+                    keys = [parts_of(np.frombuffer(s, U), first, num, den).view(np.int64) for s in some["s"]]
+                    sizes = list(map(len, keys))
+                    yield pd.DataFrame({c: some[c].to_numpy().repeat(sizes) for c in ("set", "n", "root")} | {"key": np.concatenate(keys)})
+
+        parts = scratch(open_.select("set", "n", "root").join(made, "set").mapInPandas(deal, "set binary, n int, root binary, key long"), "parts")
+        held = parts.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("most"), F.count("*").alias("k"))
+        held = broadcast_if_small(scratch(held.where("k > 1").select("key", "most"), "open-parts"), 64)
+        # only rows whose part agrees with one of another component's set get their signatures, for the join's condition
+        met = scratch(parts.join(held, "key").join(open_.select("set", "sig", "fold"), "set"), "met-in-parts")
+        a, b = (met.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "root", "sig", "fold", "most")]) for s in "ab")
+        met = a.where("root_a <> most_a").join(b, "key").where(F.expr(f"root_a <> root_b and {_sizes(num, den)} and {_near(num, den)}"))
+        return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+    def links(self) -> DataFrame:
+        """Links between sets that make all their components."""
+        links = self.verified(self.set_pairs())
+        if self.tokens.where("large").isEmpty():
+            return links
+        open_ = self.open_sets(components(links))
+        if open_.isEmpty():
+            return links
+        made = self.made(open_.select("set"))
+        for k in range(ROUNDS):
+            more = self.verified(self.hub_pairs(open_, k), made)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            open_ = self.open_sets(components(links), open_)
+            if open_.isEmpty():
+                return links
+        return links.unionByName(self.verified(self.part_pairs(open_, made), made))
 
 
 def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,12 +403,7 @@ def _components(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     crowded = _crowded_cells(rows.select("_text"), n, CELLS)
     described = _described(rows, kind, n, num, den, crowded).withColumn("key", F.xxhash64("n", "prefix"))
     described = scratch(described, "described")
-    join = _Join(rows, described, n, num, den)
-    links = join.verified(join.set_pairs())
-    if not join.tokens.where("large").isEmpty():
-        more = join.verified(join.rest_pairs(components(links)))
-        links = links.unionByName(more)
-    roots = components(links).withColumnRenamed("id", "set")
+    roots = components(_Join(rows, described, n, num, den).links()).withColumnRenamed("id", "set")
     docs = described.select("_id", "hash", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     docs = scratch(docs, "rooted")
     full = docs.where("n > 0")
