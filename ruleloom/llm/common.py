@@ -37,18 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that scratch() wrote in this process.
+_WRITTEN: list[str] = []
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again.
 
     The written table cuts the lineage, outlives lost executors and gives later steps column pruning and true
-    sizes. It lies under spark.checkpoint.dir, whose clearing is the cluster's matter.
+    sizes. It lies under spark.checkpoint.dir until drop_scratch() or the cluster clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ruleloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that scratch() wrote in this process, and gives their number.
+
+    For callers that have written or collected their results: what still reads such a table fails afterwards.
+    """
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    _WRITTEN.clear()
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths)
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
