@@ -16,7 +16,7 @@ from ruleloom.llm.ngram_join import ngram_components
 from ruleloom.llm.packing import pack, pieces
 from ruleloom.llm.quality import classify
 from ruleloom.llm.sharding import shard
-from ruleloom.llm.substring_dedup import dedup
+from ruleloom.llm.substring_dedup import PASSAGE_WORDS, dedup
 from ruleloom.llm.token_counts import count_tokens
 
 
@@ -65,7 +65,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return dedup(documents(spark, sf_dir))
+    return dedup(documents(spark, sf_dir), min_words=PASSAGE_WORDS, unit="line")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

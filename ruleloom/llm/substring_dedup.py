@@ -1,12 +1,12 @@
-"""Substring dedup by hashing runs of sentences.
+"""Substring dedup by hashing lines and paragraphs.
 
-A text's units are its lines, cut further after a sentence's end mark, and normalised (case, white space). From each
-unit a run goes on, and another back, over as few units as have MIN_WORDS words together, across lines too; a unit
-with as many words is a run by itself. Any passage of whole units with MIN_WORDS words or more, such as a line, a
-paragraph or a list of short lines, is a union of such runs. Runs are digested with 128 bits. Of runs with equal
-digests, in all documents, the first stays: that of the smallest id (null ids last), then the smallest offset. The
-others' units are removed, but for those that overlap the first; spans of units are given in the original text's
-characters.
+A text's units are its lines, or its sentences where lines are cut further after a sentence's end mark; they are
+normalised (case, white space). From each unit a run goes on, and another back, over as few units as have min_words
+words together, as a paragraph of short lines; a unit with as many words is a run by itself. Any passage of whole
+units with min_words words or more, such as a line, a paragraph or a list of short lines, is a union of such runs, so
+no unit is too short to count. Runs are digested with 128 bits. Of runs with equal digests, in all documents, the
+first stays: that of the smallest id (null ids last), then the smallest offset. The others' units are removed, but for
+those that overlap the first; spans of units are given in the original text's characters.
 
 A null text counts as empty. Rows that agree in id and text count as one document: their units are the same
 occurrences, so they stay or go alike. An empty table gives an empty result. Extra columns don't matter.
@@ -22,16 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, scratch
+from ruleloom.llm.common import BROADCAST_BYTES, join_one, scratch
 
-#: Shorter runs recur by chance.
+#: Shorter runs of sentences recur by chance.
 MIN_WORDS = 6
-_UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+#: Whole lines that are a passage together have so many words; stock lines shorter than that are no copies.
+PASSAGE_WORDS = 50
+_UNITS = {"sentence": re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)"), "line": re.compile(r"[^\n]+")}
 
 
-def units(text: str) -> Iterator[tuple[int, int, str]]:
+def units(text: str, kind: str = "sentence") -> Iterator[tuple[int, int, str]]:
     """Start and end of each unit without white space at its ends, and its normal form."""
-    for m in _UNIT.finditer(text):
+    for m in _UNITS[kind].finditer(text):
         raw = m.group()
         words = raw.lower().split()
         if words:
@@ -86,8 +88,8 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row: id, n_units, n_removed, removed (spans), kept_text."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, unit: str = "sentence") -> DataFrame:
+    """One row per row: id, n_units, n_removed, removed (spans), kept_text. unit: line or sentence."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_text"))
@@ -96,15 +98,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
         for batch in batches:
             out = []
             for i, row, text in zip(batch["_id"], batch["_row"], batch["_text"], strict=True):
-                for a, b, normal in runs(list(units(text)), min_words):
+                for a, b, normal in runs(list(units(text, unit)), min_words):
                     out.append((i, row, a, b, xxhash.xxh3_128_digest(normal)))
             yield pd.DataFrame(out, columns=["_id", "_row", "a", "b", "digest"]).astype({"_id": batch["_id"].dtype})
 
     found = scratch(rows.mapInPandas(cut, f"_id {kind}, _row long, a int, b int, digest binary"), "units")
     at = F.struct(F.col("_id").isNull().alias("no"), "_id", "_row", "a", "b")
-    first = found.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = found.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = scratch(first, "repeated")
-    more = found.join(first, "digest").where(~at.eqNullSafe(F.col("first")))
+    more = join_one(found, first, "digest", "n", 96).where(~at.eqNullSafe(F.col("first")))
     # the first stays whole where another overlaps it
     same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_row") == F.col("first._row"))
     more = more.withColumn("a", F.when(same, F.greatest("a", "first.b")).otherwise(F.col("a"))).where("a < b")
@@ -119,7 +121,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
         for batch in batches:
             all_ = [[] if s is None else [(int(x["a"]), int(x["b"])) for x in s] for s in batch["spans"]]
             texts = batch["_text"].tolist()
-            found = [[(a, b) for a, b, _ in units(t)] for t in texts]
+            found = [[(a, b) for a, b, _ in units(t, unit)] for t in texts]
             all_ = [within(f, s) if s else s for f, s in zip(found, all_, strict=True)]
             yield pd.DataFrame(
                 {
