@@ -15,7 +15,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from ruleloom.llm import exact_dedup, fingerprints, lm, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, text_arrays, token_counts
+from ruleloom.llm import common, exact_dedup, fingerprints, lm, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, text_arrays, token_counts
 from ruleloom.llm.components import components
 from tests.llm.cases import empty, long_text, odd, table
 
@@ -52,6 +52,30 @@ def test_empty_tables(spark):
     assert exact_dedup.drop_exact_duplicates(e).columns == ngram_join.drop_near_duplicates(e).columns == mixing.apply_mix(e).columns == quality.keep_good(e, labels).columns == e.columns
 
 
+def test_scratch_tables_can_be_dropped(spark):
+    before, own = list(common._WRITTEN), spark.range(3)
+    common._WRITTEN.clear()
+    try:
+        kept = common.scratch(own, "kept")
+        path = common._WRITTEN[0]
+        assert kept.count() == 3 and common.drop_scratch(spark) == 1 and not common._WRITTEN
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
+    finally:
+        common._WRITTEN.extend(before)
+
+
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_join_of_one_row_a_key(spark, monkeypatch, most):
+    """Whether all keys are broadcast or only the hot ones, rows meet the row of their key."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", max(most, 200))
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = [(k, i) for k in range(40) for i in range(30 if k == 7 else 2)] + [(99, 0)]
+    keyed = spark.createDataFrame([(k, 30 if k == 7 else 2, f"v{k}") for k in range(40)], "k int, c int, v string")
+    out = common.join_one(spark.createDataFrame(rows, "k int, i int"), keyed, "k", "c", 40).collect()
+    assert sorted((r["k"], r["i"], r["v"]) for r in out) == sorted((k, i, f"v{k}") for k, i in rows if k < 40)
+
+
 def test_token_counts(docs, texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = collections.Counter((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t, _ in texts)
@@ -116,6 +140,38 @@ def test_ngram_join_on_clusters_beyond_a_bucket(spark, monkeypatch):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in want}
 
 
+def test_ngram_join_by_parts_alone(spark, monkeypatch):
+    """Without rounds of hubs, what crowded buckets hold apart goes by parts."""
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    monkeypatch.setattr(ngram_join, "CROWDED", 6)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    rng, base, all_ = random.Random(4), long_text(11, 90).split(), []
+    for k in range(50):
+        w = base[:]
+        for _ in range(k % 4):
+            w[rng.randrange(90)] = f"e{k}"
+        all_.append(" ".join(w))
+    all_ += [f"{long_text(17, 40)} {long_text(100 + k, 12)}" for k in range(30)]
+    got = ngram_join.ngram_components(table(spark, all_), 3, 80, 100)
+    want = brute_components([(i, t, None) for i, t in enumerate(all_)], 3, 80, 100)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (1, 2)])
+def test_sets_that_reach_the_threshold_agree_in_a_part(num, den):
+    rng, first = random.Random(num), ngram_join.bands(3000, num, den)
+    for _ in range(400):
+        n = rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 100, 400, 2000])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        both = rng.randint(-(-num * n // den), n)
+        b = set(rng.sample(sorted(a), both))
+        room = den * both // num - n  # shingles that b may have besides
+        b |= {rng.getrandbits(64) for _ in range(rng.choice([0, room]))}
+        if b and den * len(a & b) >= num * len(a | b):
+            x, y = (ngram_join.parts_of(np.array(sorted(s), np.uint64), first, num, den) for s in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     a, b, c, d = (long_text(k, 60) for k in (3, 5, 7, 11))
     all_ = [(5, a), (5, b + " more"), (7, a + " more"), (3, b), (None, c), (None, d + " more"), (None, b + " other"), (9, d), (None, a + " other")]
@@ -454,6 +510,40 @@ def test_substring_dedup_of_short_sentences_and_lines(spark):
     assert out[0]["kept_text"] == all_[0] and out[4]["kept_text"].split() == ["Go", "on."] * 3
 
 
+def brute_passages(all_, least):
+    """Numbers of the lines to remove: those of later copies of the shortest runs of lines with so many words."""
+    lines = {i: [(m.start() + len(m.group()) - len(m.group().lstrip()), " ".join(m.group().lower().split())) for m in re.finditer(r"[^\n]+", t or "") if m.group().split()] for i, t in all_.items()}
+    seen, gone = {}, {i: set() for i in all_}
+    for i in sorted(all_):
+        own = lines[i]
+        words = [len(x.split()) for _, x in own]
+        runs = [(a, b) for a in range(len(own)) for b in range(a, len(own)) if sum(words[a : b + 1]) >= least > min(sum(words[a:b]), sum(words[a + 1 : b + 1]))]
+        for a, b in sorted(runs):
+            key = tuple(x for _, x in own[a : b + 1])
+            if key in seen:
+                of, upto = seen[key]
+                gone[i] |= {k for k in range(a, b + 1) if of != i or k > upto}
+            else:
+                seen[key] = (i, b)
+    return {i: sorted(own[k][0] for k in gone[i]) for i, own in lines.items()}
+
+
+def test_substring_dedup_by_lines(spark):
+    rng = random.Random(12)
+    pool = [long_text(k, rng.choice([3, 9, 30, 60, 90])) for k in range(14)]
+    all_ = {i: "\n".join(rng.choice(["", "  "]) + (rng.choice(pool) if rng.random() < 0.5 else long_text(1000 + 40 * i + k, rng.randint(1, 70))) for k in range(rng.randint(0, 9))) for i in range(60)}
+    all_ |= {60: None, 61: "\n\n", 62: f"{pool[3]}\n{pool[4]}", 63: f"{pool[3].upper()}\n\n{pool[4]}", 64: "\n".join([pool[1]] * 12)}
+    df = table(spark, [all_[i] for i in range(len(all_))])
+    for least in (50, 1):
+        out = {r["doc_id"]: r for r in collected(substring_dedup.dedup(df, min_words=least, unit="line"))}
+        want = brute_passages(all_, least)
+        assert sum(map(len, want.values())) > 20
+        for i, r in out.items():
+            assert r["n_removed"] == len(want[i]) and [s["start"] for s in r["removed"]] == want[i]
+            assert all((all_[i] or "")[s["start"] : s["end"]].lower().split() for s in r["removed"])
+    assert all(c["n_removed"] == 0 for c in collected(queries.dedup(df.where("doc_id in (60, 61)"))))
+
+
 def test_exact_dedup(docs, texts):
     normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in texts]
     groups = collections.defaultdict(list)
@@ -478,6 +568,15 @@ def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
     assert sum(r["kept"] for r in out) == 400 and all(r["keep_id"] == r["doc_id"] % 400 for r in out)
 
 
+def test_exact_dedup_with_a_filter_in_buckets(spark, docs, texts, monkeypatch):
+    """A filter that isn't broadcast gives the same groups; of rows that agree in all but white space one stays."""
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "broadcast_if_small", lambda df, _: df)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == want
+    df = spark.createDataFrame([(1, "a  b"), (1, "a b"), (1, "a b"), (None, "a b"), (2, "c"), (0, "d"), (3, "a\tb")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df).collect()) == [0, 1, 2]
+
+
 def test_exact_dedup_runs_no_python(spark):
     plan = queries.op10_exact_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
