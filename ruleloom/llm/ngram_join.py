@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import broadcast_if_small, scratch
+from ruleloom.llm.common import broadcast_if_small, join_one, scratch
 from ruleloom.llm.components import components
 from ruleloom.llm.text_arrays import encoded, mix, word_hashes
 
@@ -407,8 +407,8 @@ def _components(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     docs = described.select("_id", "hash", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     docs = scratch(docs, "rooted")
     full = docs.where("n > 0")
-    least = full.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "set", "hash")).alias("least"))
-    met = full.join(least, "root").select(
+    least = full.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "set", "hash")).alias("least"), F.count("*").alias("size"))
+    met = join_one(full, scratch(least, "least"), "root", "size", 96).select(
         F.col("_id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.col("least._id").alias("component_id"),
