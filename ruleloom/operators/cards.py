@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import decisions as D
@@ -11,6 +12,7 @@ from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators.briefing import priority
 from ruleloom.operators.structure import section_at
+from ruleloom.session import written
 
 
 def provisions(sections: DataFrame, regions: DataFrame) -> DataFrame:
@@ -43,28 +45,32 @@ def implicit_scores(blocks: DataFrame, classified: DataFrame, sections: DataFram
     return met.select("doc_id", "det_id", "group_id", score.alias("score")).where(F.col("score") >= V.TERM_OVERLAP)
 
 
-def links(blocks: DataFrame, explicit: DataFrame, scores: DataFrame) -> DataFrame:
+def links(blocks: DataFrame, explicit: DataFrame, scores: DataFrame, store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """doc_id, det_id, group_id, kind. Decisions claim revisions in the document's order; those without an explicit link
-    take the best that are still unclaimed. The order makes this a walk, so it runs by document over scored pairs only.
+    take the best that no earlier decision has claimed, at most TERM_GROUPS.
+
+    All documents are claimed at once, in rounds. A decision settles as soon as it comes before all other open decisions
+    at each of its best revisions, as none of these can be taken from it any more; what it takes is then gone for the
+    others. The first open decision of a document always settles, and decisions that don't compete settle in the first
+    round. Explicit links are certain before: they take revisions from later decisions only.
     """
-    order = blocks.select("doc_id", F.col("section_id").alias("det_id"), F.col("span_start").alias("det_at"))
-    sure = explicit.withColumn("score", F.lit(None).cast("double"))
-    pairs = sure.unionByName(scores.select(sure.columns)).join(order, ["doc_id", "det_id"])
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        claimed, out = set(), []
-        for (_, det), rows in pdf.groupby(["det_at", "det_id"], sort=True):
-            mine = rows[rows["score"].isna()]
-            how = "explicit"
-            if mine.empty:
-                mine, how = rows[~rows["group_id"].isin(claimed)].sort_values(["score", "group_id"], ascending=[False, True]).head(V.TERM_GROUPS), "implicit"
-            for g in mine["group_id"].tolist():
-                claimed.add(g)
-                out.append((rows["doc_id"].iloc[0], det, g, how))
-        return pd.DataFrame(out, columns=["doc_id", "det_id", "group_id", "kind"])
-
-    return pairs.groupBy("doc_id").applyInPandas(walk, f"doc_id {kind}, det_id string, group_id int, kind string")
+    order = blocks.select("doc_id", F.col("section_id").alias("det_id"), F.struct("span_start", F.col("section_id").alias("id")).alias("det"))
+    sure = explicit.join(order, ["doc_id", "det_id"])
+    gone = sure.groupBy("doc_id", "group_id").agg(F.min("det").alias("gone"))
+    open_ = scores.join(order, ["doc_id", "det_id"]).join(explicit.select("doc_id", "det_id").distinct(), ["doc_id", "det_id"], "left_anti")
+    open_ = open_.join(gone, ["doc_id", "group_id"], "left").where(F.col("gone").isNull() | (F.col("det") < F.col("gone"))).drop("gone")
+    mine, rivals = Window.partitionBy("doc_id", "det_id"), Window.partitionBy("doc_id", "group_id")
+    out = sure.select("doc_id", "det_id", "group_id", F.lit("explicit").alias("kind"))
+    while True:
+        r = open_.withColumn("first", F.col("det") == F.min("det").over(rivals))
+        r = r.withColumn("best", F.row_number().over(mine.orderBy(F.desc("score"), "group_id")) <= V.TERM_GROUPS)
+        r = r.withColumn("settled", F.bool_and(F.col("first") | ~F.col("best")).over(mine))
+        r = store(r.withColumn("taken", F.bool_or(F.col("settled") & F.col("best")).over(rivals)), "claims")
+        took = r.where("settled and best").select("doc_id", "det_id", "group_id", F.lit("implicit").alias("kind"))
+        open_ = r.where("not settled and not taken").select(open_.columns)
+        if took.isEmpty():
+            return out
+        out = out.unionByName(took)
 
 
 def cards(blocks: DataFrame, classified: DataFrame, links: DataFrame) -> DataFrame:
