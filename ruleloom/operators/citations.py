@@ -11,14 +11,15 @@ from ruleloom.operators.spans import asof, with_text
 DETAIL = 80
 
 
-def verdict(quote: Column, text: Column, start: Column, end: Column, section_start: Column, section_end: Column) -> Column:
-    """match (exact, normalized) or the first reason why a citation fails; sections may be null."""
-    own = T.cut(text, start, end)
+def verdict(quote: Column, own: Column, length: Column, start: Column, end: Column, section_start: Column, section_end: Column) -> Column:
+    """match (exact, normalized) or the first reason why a citation fails; sections may be null.
+
+    own: what the document of that length holds from start to end.
+    """
     same = F.when(own == quote, "exact").when(T.collapse(own) == T.collapse(quote), "normalized")
-    bounds = (start < 0) | (end > F.length(text)) | (end <= start)
     reason = (
         F.when(T.is_blank(F.coalesce(quote, F.lit(""))), "empty-quote")
-        .when(F.coalesce(bounds, F.lit(True)), "out-of-bounds")
+        .when(~in_bounds(length, start, end), "out-of-bounds")
         .when(same.isNull(), "quote-mismatch")
         .when(section_start.isNull(), "section-not-found")
         .when((start < section_start) | (start >= section_end), "outside-section")
@@ -26,11 +27,22 @@ def verdict(quote: Column, text: Column, start: Column, end: Column, section_sta
     return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), same).alias("match"), reason.alias("reason"))
 
 
+def in_bounds(length: Column, start: Column, end: Column) -> Column:
+    return F.coalesce((start >= 0) & (end <= length) & (end > start), F.lit(False))
+
+
 def verify(claims: DataFrame, doc_text: DataFrame, sections: DataFrame) -> DataFrame:
-    """claims (doc_id, section_id, quote, span_start, span_end, ...) with ok, match and reason."""
+    """claims (doc_id, section_id, quote, span_start, span_end, ...) with ok, match and reason.
+
+    A claim meets its document's length and the piece of text that holds its span, so the text isn't repeated for each
+    claim, however many there are about one document.
+    """
     s = sections.select("doc_id", "section_id", F.col("span_start").alias("__lo"), F.col("span_end").alias("__hi"))
-    met = claims.join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id").join(s, ["doc_id", "section_id"], "left")
-    v = verdict(F.col("quote"), F.col("__text"), F.col("span_start"), F.col("span_end"), F.col("__lo"), F.col("__hi"))
+    met = claims.join(doc_text.select("doc_id", F.length("text").alias("__n")), "doc_id").join(s, ["doc_id", "section_id"], "left")
+    start, end = (F.when(in_bounds(F.col("__n"), F.col("span_start"), F.col("span_end")), F.col(c).cast("int")).otherwise(0) for c in ("span_start", "span_end"))
+    met = with_text(met, doc_text, start, end)
+    own = T.cut("window", start - F.col("window_at"), end - F.col("window_at"))
+    v = verdict(F.col("quote"), own, F.col("__n"), F.col("span_start"), F.col("span_end"), F.col("__lo"), F.col("__hi"))
     return met.withColumn("__v", v).select(*claims.columns, "__v.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
-from ruleloom.operators.spans import with_text
+from ruleloom.operators.spans import inside, with_text
 from ruleloom.operators.structure import section_at
 
 DELETION = r"\[([^\[\]]*)\]"
@@ -39,11 +39,9 @@ def edits(regions: DataFrame, italics: DataFrame, footnotes: DataFrame, sections
     r = regions.select("doc_id", "region_start", "region_end")
     added = italics.where("not in_footnote").join(r, "doc_id").where("span_start >= region_start and span_start < region_end")
     added = added.where(~T.is_blank("text")).select("doc_id", F.lit("addition").alias("kind"), "text", "span_start", "span_end")
-    inside = regions.select("doc_id", "region_start", T.cut("text", F.col("region_start"), F.col("region_end")).alias("own"))
-    gone = bracket_spans(inside, "doc_id", "own").join(r, "doc_id").withColumn("span_start", F.col("region_start") + F.col("at"))
-    noted = footnotes.select("doc_id", F.col("span_start").alias("fa"), F.col("span_end").alias("fb"))
-    met = gone.alias("g").join(noted.alias("n"), F.expr("g.doc_id = n.doc_id and g.span_start >= n.fa and g.span_start < n.fb"), "left_anti")
-    met = met.where(~T.is_blank("inner"))
+    own = regions.select("doc_id", "region_start", T.cut("text", F.col("region_start"), F.col("region_end")).alias("own"))
+    gone = bracket_spans(own, "doc_id", "own").join(r, "doc_id").withColumn("span_start", F.col("region_start") + F.col("at"))
+    met = inside(gone, footnotes, "doc_id", "span_start", "span_start", "span_end").where(~F.col("inside") & ~T.is_blank("inner"))
     gone = met.select("doc_id", F.lit("deletion").alias("kind"), F.col("inner").alias("text"), "span_start", (F.col("span_start") + F.length("inner") + 2).alias("span_end"))
     out = section_at(added.unionByName(gone), sections, "span_start", ["section_id"]).where("section_id is not null")
     return out.withColumn("edit_id", F.concat(F.substring("kind", 1, 1), F.col("span_start").cast("string")))
@@ -55,8 +53,7 @@ def diagnostics(regions: DataFrame, italics: DataFrame, footnotes: DataFrame) ->
     noted = italics.where("in_footnote").join(r, "doc_id").where("span_start >= region_start and span_start < region_end")
     noted = noted.groupBy("doc_id").agg(F.count("*").alias("italics_in_footnotes"))
     gone = bracket_spans(r, "doc_id", "own").join(r.select("doc_id", "region_start"), "doc_id").withColumn("at", F.col("at") + F.col("region_start"))
-    f = footnotes.select("doc_id", F.col("span_start").alias("fa"), F.col("span_end").alias("fb"))
-    held = gone.join(f, "doc_id").where("at >= fa and at < fb").groupBy("doc_id").agg(F.count_distinct("at").alias("brackets_in_footnotes"))
+    held = inside(gone, footnotes, "doc_id", "at", "span_start", "span_end").groupBy("doc_id").agg(F.count_if("inside").alias("brackets_in_footnotes"))
     pairs, opened = F.regexp_count("own", F.lit(DELETION)), F.regexp_count("own", F.lit(r"\["))
     out = r.select("doc_id", pairs.alias("brackets"), F.greatest(F.lit(0), opened - pairs).alias("unmatched"))
     return out.join(noted, "doc_id", "left").join(held, "doc_id", "left").fillna(0)

@@ -21,6 +21,19 @@ def asof(points: DataFrame, marks: DataFrame, by: str, at: str, start: str, take
     return met.where("__kind = 1").select(*points.columns, *[F.col("__mark")[c].alias(c) for c in take])
 
 
+def inside(points: DataFrame, ranges: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
+    """points with inside: whether some half-open range of the same by holds at; ranges may overlap.
+
+    A sweep over starts and points in order carries the furthest end so far, so no pair is ever formed.
+    """
+    left = points.withColumns({"__at": F.col(at), "__end": F.lit(None).cast(ranges.schema[end].dataType), "__kind": F.lit(1)})
+    empty = {c: F.lit(None).cast(points.schema[c].dataType) for c in points.columns if c != by}
+    right = ranges.select(F.col(by), F.col(start).alias("__at"), F.col(end).alias("__end"), F.lit(0).alias("__kind")).withColumns(empty)
+    w = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.unionByName(right.select(left.columns)).withColumn("inside", F.coalesce(F.max("__end").over(w) > F.col("__at"), F.lit(False)))
+    return met.where("__kind = 1").select(*points.columns, "inside")
+
+
 def islands(spans: DataFrame, by: list[str], start: str, end: str, gap: int | Column = 0) -> DataFrame:
     """Adds island: spans that overlap or lie within gap of what came before share a number, from 0."""
     order = Window.partitionBy(*by).orderBy(start, end)
