@@ -11,6 +11,7 @@ from ruleloom.functions import vocabulary as V
 from ruleloom.operators.redline import reading
 from ruleloom.operators.spans import islands
 from ruleloom.operators.structure import section_at
+from ruleloom.session import united
 
 PRIORITIES = ("material", "needs-review", "clarifying")
 
@@ -110,7 +111,7 @@ def decision_only(buckets: DataFrame, blocks: DataFrame) -> DataFrame:
 def briefing(buckets: DataFrame, blocks: DataFrame, meta: DataFrame) -> DataFrame:
     """All entries in order of category, priority and revisions, with place, provision_status and escalated."""
     b = decisions_of(buckets, blocks)
-    out = b.unionByName(decision_only(buckets, blocks).select(b.columns)).join(meta.select("doc_id", "status"), "doc_id", "left")
+    out = united(b, decision_only(buckets, blocks).select(b.columns)).join(meta.select("doc_id", "status"), "doc_id", "left")
     status = D.provision_status(F.coalesce("status", F.lit("final")), F.col("disposition"), F.col("edits") > 0)
     order = Window.partitionBy("doc_id").orderBy(
         D.category_rank(F.col("category")), F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority")), F.desc("revisions"), "build_seq"

@@ -12,7 +12,7 @@ from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators.briefing import priority
 from ruleloom.operators.structure import section_at
-from ruleloom.session import written
+from ruleloom.session import united, written
 
 
 def provisions(sections: DataFrame, regions: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def links(blocks: DataFrame, explicit: DataFrame, scores: DataFrame, store: Call
         open_ = r.where("not settled and not taken").select(open_.columns)
         if took.isEmpty():
             return out
-        out = out.unionByName(took)
+        out = united(out, took)
 
 
 def cards(blocks: DataFrame, classified: DataFrame, links: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def cards(blocks: DataFrame, classified: DataFrame, links: DataFrame) -> DataFra
         {"det_id": F.lit(None).cast("string"), "det_at": F.col("span_start"), "disposition": F.lit(None).cast("string"), "heading_path": F.lit(None).cast("array<string>"), "kind": F.lit(None).cast("string")}
     )
     without = alone.groupBy("doc_id", "det_id", "det_at", "disposition", "heading_path", "group_id").agg(F.max("kind").alias("kind"), *agg).drop("group_id")
-    c = with_d.unionByName(without)
+    c = united(with_d, without)
     escalated = (F.coalesce(F.col("disposition") == "unclassified", F.lit(False))) | F.col("undecided")
     kinds = F.array_distinct(F.transform("lead.edits", lambda e: e["kind"]))
     effect = (

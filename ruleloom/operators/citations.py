@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 from ruleloom.operators.spans import asof, with_text
+from ruleloom.session import written
 
 DETAIL = 80
 
@@ -102,35 +103,31 @@ def locate_within(quotes: DataFrame, doc_text: DataFrame, sections: DataFrame, q
     return asof(out, sections, "doc_id", "original_start", "span_start", ["section_id"])
 
 
-def original_at(text: Column, normal_at: Column) -> Column:
-    """The place in text of a place in its normal form (both from 0), by the lengths of the words before it; a space
-    between words stands for the next word's start."""
-    normal = T.collapse(text)
-    before = F.substring(normal, 1, normal_at + F.when(F.substring(normal, normal_at + 1, F.lit(1)) == " ", 1).otherwise(0))
-    k = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
-    words = F.slice(F.regexp_extract_all(text, F.lit(f"{T.WS}*{T.NON_WS}+"), F.lit(0)), 1, k + 1)
-    last = F.element_at(words, -1)
-    ends = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
-    return ends - F.length(T.trim(last)) + F.length(F.substring_index(before, " ", -1))
+def _times(text: Column, quote: Column, at: Column) -> Column:
+    """Occurrences of a literal whose first place from 1 is known; a second search tells whether it is the only one."""
+    more = F.when(F.call_function("locate", quote, text, at + 1) == 0, 1).otherwise(occurrences(text, quote))
+    return F.when(at > 0, more).otherwise(0)
 
 
 def located(met: DataFrame, text: str, quote: str) -> DataFrame:
-    q = T.trim(quote)
-    met = met.withColumns({"__q": q, "__at": F.instr(F.col(text), q)})
-    normal, want = T.collapse(text), T.collapse(quote)
-    exact = F.when(F.col("__at") > 0, occurrences(F.col(text), F.col("__q"))).otherwise(0)
-    loose = F.when((F.col("__at") == 0) & normal.contains(want), occurrences(normal, want)).otherwise(0)
-    n = exact + loose
-    blank = F.col("__q") == ""
-    return met.withColumns(
-        {
-            "occurrences": F.when(blank, 0).otherwise(n),
-            "match": F.when(blank | (n != 1), None).when(exact == 1, "exact").otherwise("normalized"),
-            "result": F.when(blank | (n == 0), "not-found").when(n == 1, "found").otherwise("ambiguous"),
-            "start": F.when(~blank & (exact == 1), F.col("__at") - 1),
-            "original_start": F.when(~blank & (exact == 1), F.col("__at") - 1).when(~blank & (n == 1), original_at(F.col(text), F.instr(normal, want) - 1)),
-        }
-    ).drop("__q", "__at")
+    """A null text or quote counts as empty; an empty quote isn't found."""
+    met = met.withColumns({"__t": F.coalesce(F.col(text), F.lit("")), "__q": T.trim(F.coalesce(F.col(quote), F.lit("")))})
+    met = met.withColumn("__at", F.when(F.col("__q") != "", F.instr(F.col("__t"), F.col("__q"))))
+    # each normal form is a column of its own, so it is computed once, and only where the exact search found nothing
+    met = met.withColumns({"__normal": F.when(F.col("__at") == 0, T.collapse("__t")), "__want": F.when(F.col("__at") == 0, T.collapse("__q"))})
+    met = met.withColumn("__nat", F.instr(F.col("__normal"), F.col("__want")))
+    met = met.withColumns({"__exact": _times(F.col("__t"), F.col("__q"), F.col("__at")), "__loose": _times(F.col("__normal"), F.col("__want"), F.col("__nat"))})
+    n, first = F.col("__exact") + F.col("__loose"), F.col("__at") - 1
+    words = F.replace(F.replace("__want", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(" "), F.lit(rf"\E{T.WS}+\Q"))
+    loose_start = F.regexp_instr("__t", F.concat(F.lit(r"\Q"), words, F.lit(r"\E"))) - 1
+    out = {
+        "occurrences": n,
+        "match": F.when(n == 1, F.when(F.col("__exact") == 1, "exact").otherwise("normalized")),
+        "result": F.when(n == 0, "not-found").when(n == 1, "found").otherwise("ambiguous"),
+        "start": F.when(F.col("__exact") == 1, first),
+        "original_start": F.when(F.col("__exact") == 1, first).when((n == 1), loose_start),
+    }
+    return met.withColumns(out).drop("__t", "__q", "__at", "__normal", "__want", "__nat", "__exact", "__loose")
 
 
 #: Words of a window, and characters of one for quotes of fewer than three words.
@@ -145,43 +142,69 @@ def _windows(x: Column, w: int) -> Column:
     return F.filter(out, lambda h: h.isNotNull())
 
 
-def contained(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text") -> DataFrame:
-    """docs with quote_id and quote of each quote that its text holds exactly (trimmed), for any number of quotes.
+def contained(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text", normal: bool = False) -> DataFrame:
+    """docs with quote_id and quote of each quote that its text holds, for any number of quotes: exactly (trimmed), or, if
+    normal, but for white space. Null and blank quotes are in no text.
 
-    Where a text holds a quote, it holds the quote's inner words whole: the first windows of these, or of characters for
-    quotes of one or two words, meet the texts' windows in an equality join, and only such pairs are searched.
+    Where a text holds a quote, it holds the quote's inner words whole, so also all windows of these (of characters, for
+    quotes of one or two words). The texts' windows are listed once; those of quotes are kept and counted, each quote
+    takes its rarest as its anchor, and only texts that hold the anchor are searched. Common phrases, such as openings
+    that many quotes share, are no anchors unless a quote has no other words.
     """
-    q = T.trim(quote)
-    words, chars = F.split(q, f"{T.WS}+"), F.split(q, "")
-    inner, n = F.size(words) - 2, F.length(q)
-    asked = quotes.where(n > 0).select(F.col(quote_id), F.col(quote), (inner > 0).alias("by_words"), F.least(F.lit(WINDOW), F.when(inner > 0, inner).otherwise(n)).alias("w"), words.alias("words"), chars.alias("chars"))
-    kinds = asked.select("by_words", "w").distinct().collect()  # at most 2 * WINDOW
-    met = None
-    for by_words, w in kinds:
-        own = asked.where((F.col("by_words") == by_words) & (F.col("w") == w))
-        anchor = F.slice("words", 2, w) if by_words else F.slice("chars", 1, w)
-        held = F.split(text, f"{T.WS}+" if by_words else "")
-        rows = docs.select(F.col(doc_id).alias("__doc"), F.explode(_windows(held, w)).alias("__h"))
-        one = rows.join(own.select(quote_id, F.get(_windows(anchor, w), F.lit(0)).alias("__h")), "__h").select("__doc", F.col(quote_id).alias("__quote")).distinct()
-        met = one if met is None else met.unionByName(one)
-    if met is None:
+    form = T.collapse if normal else T.trim
+    q = quotes.select(F.col(quote_id).alias("__quote"), form(quote).alias("q"))
+    words, chars = F.split("q", f"{T.WS}+"), F.split("q", "")
+    inner, n = F.size(words) - 2, F.length("q")
+    asked = q.where(n > 0).select("__quote", (inner > 0).alias("by_words"), F.least(F.lit(WINDOW), F.when(inner > 0, inner).otherwise(n)).alias("w"), words.alias("words"), chars.alias("chars"))
+    kinds = [(r["by_words"], r["w"]) for r in asked.select("by_words", "w").distinct().collect()]  # at most 2 * WINDOW
+    if not kinds:
         return docs.join(quotes.select(quote_id, quote).limit(0), F.lit(False))
+
+    def hashes(x: Column, kind: tuple[bool, int]) -> Column:
+        return F.transform(_windows(x, kind[1]), lambda h: F.xxhash64(h, F.lit(kind[0]), F.lit(kind[1])))
+
+    of_quote = F.lit(None).cast("array<bigint>")
+    for kind in kinds:
+        own = hashes(F.slice("words", 2, F.size("words") - 2), kind) if kind[0] else hashes(F.col("chars"), kind)
+        of_quote = F.when((F.col("by_words") == kind[0]) & (F.col("w") == kind[1]), own).otherwise(of_quote)
+    keys = written(asked.select("__quote", F.explode(F.array_distinct(of_quote)).alias("h")), "quote-windows")
+    body = docs.select(F.col(doc_id).alias("__doc"), (T.collapse(text) if normal else F.col(text)).alias("t"))
+    body = body.select("__doc", *[F.split("t", by).alias(name) for by, name in ((f"{T.WS}+", "words"), ("", "chars")) if any(k[0] == (name == "words") for k in kinds)])
+    listed = F.array_distinct(F.concat(*[hashes(F.col("words" if k[0] else "chars"), k) for k in kinds]))
+    held = written(body.select("__doc", F.explode(listed).alias("h")).join(keys.select("h").distinct(), "h", "left_semi"), "text-windows")
+    counts = held.groupBy("h").agg(F.count("*").alias("texts"))
+    anchors = keys.join(counts, "h", "left").groupBy("__quote").agg(F.min_by("h", F.struct("texts", "h")).alias("h"), F.count_if(F.col("texts").isNull()).alias("lost"))
+    met = written(anchors.where("lost = 0").select("__quote", "h").join(held, "h").select("__doc", "__quote").distinct(), "anchored")
     out = docs.join(met, F.col(doc_id).eqNullSafe(F.col("__doc"))).join(quotes.select(quote_id, quote), F.col(quote_id).eqNullSafe(F.col("__quote")))
-    return out.where(F.contains(text, T.trim(quote))).drop("__doc", "__quote")
+    return out.where(F.contains(form(text), form(quote))).drop("__doc", "__quote")
 
 
 def normal_tokens(texts: DataFrame, by: str, text: str) -> DataFrame:
-    """The words of each text with their place in it and in its normal form: by, k, token, at, normal_at."""
-    token = F.regexp_extract_all(F.col(text), F.lit(f"{T.WS}*{T.NON_WS}+"), F.lit(0))
-    sizes = F.transform(token, lambda x: F.struct(F.length(x).alias("all"), F.length(T.trim(x)).alias("own"), T.trim(x).alias("token")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("normal"), F.array().cast("array<struct<token:string,at:int,normal_at:int>>").alias("out"))
+    """The words of each text with their place in it and in its normal form: by, k, token, at, normal_at.
+
+    Texts are dealt by their key once; places are running sums over their words, so a long text takes linear time.
+    """
+    t = texts.select(by, text).repartition(by)
+    whole, own = (F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for p in (f"{T.WS}*{T.NON_WS}+", f"{T.NON_WS}+"))
+    each = F.zip_with(whole, own, lambda w, o: F.struct(F.length(w).alias("all"), o.alias("token")))
+    upto = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    e = t.select(by, F.posexplode(each).alias("k", "e")).select(by, "k", "e.*")
+    e = e.withColumns({"at": F.sum("all").over(upto), "normal_at": F.sum(F.length("token") + 1).over(upto) - 1})
+    return e.select(by, "k", "token", *[(F.col(c) - F.length("token")).cast("int").alias(c) for c in ("at", "normal_at")])
 
-    def step(acc: Column, s: Column) -> Column:
-        entry = F.struct(s["token"].alias("token"), (acc["at"] + s["all"] - s["own"]).alias("at"), acc["normal"].alias("normal_at"))
-        return F.struct((acc["at"] + s["all"]).alias("at"), (acc["normal"] + s["own"] + 1).alias("normal"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    out = texts.select(by, F.aggregate(sizes, start, step)["out"].alias("o"))
-    return out.select(by, F.posexplode("o").alias("k", "e")).select(by, "k", "e.*")
+def originals(points: DataFrame, tokens: DataFrame, by: str, normal_at: str) -> DataFrame:
+    """points with original_at: the place in the text of a place in its normal form (both from 0), a space standing for the
+    next word's start; null where the normal form has no such place.
+
+    tokens: as normal_tokens() gives them. Any number of points meets a text's words in one as-of join.
+    """
+    after = F.lead("at").over(Window.partitionBy(by).orderBy("k"))
+    t = tokens.select(by, "normal_at", F.struct("normal_at", "at", F.length("token").alias("n"), after.alias("next")).alias("__token")).withColumnRenamed("normal_at", "__start")
+    met = asof(points, t, by, normal_at, "__start", ["__token"])
+    within = F.col(normal_at) - F.col("__token.normal_at")
+    at = F.when(within < F.col("__token.n"), F.col("__token.at") + within).when(within == F.col("__token.n"), F.col("__token.next"))
+    return met.withColumn("original_at", at).drop("__token")
 
 
 def clipped(quote: Column, most: int = DETAIL) -> Column:

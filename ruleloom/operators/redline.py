@@ -9,6 +9,7 @@ from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators.spans import inside, with_text
 from ruleloom.operators.structure import section_at
+from ruleloom.session import united
 
 DELETION = r"\[([^\[\]]*)\]"
 
@@ -43,7 +44,7 @@ def edits(regions: DataFrame, italics: DataFrame, footnotes: DataFrame, sections
     gone = bracket_spans(own, "doc_id", "own").join(r, "doc_id").withColumn("span_start", F.col("region_start") + F.col("at"))
     met = inside(gone, footnotes, "doc_id", "span_start", "span_start", "span_end").where(~F.col("inside") & ~T.is_blank("inner"))
     gone = met.select("doc_id", F.lit("deletion").alias("kind"), F.col("inner").alias("text"), "span_start", (F.col("span_start") + F.length("inner") + 2).alias("span_end"))
-    out = section_at(added.unionByName(gone), sections, "span_start", ["section_id"]).where("section_id is not null")
+    out = section_at(united(added, gone), sections, "span_start", ["section_id"]).where("section_id is not null")
     return out.withColumn("edit_id", F.concat(F.substring("kind", 1, 1), F.col("span_start").cast("string")))
 
 

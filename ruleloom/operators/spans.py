@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleloom.session import united
+
 
 def asof(points: DataFrame, marks: DataFrame, by: str, at: str, start: str, take: list[str]) -> DataFrame:
     """points with the columns take of the last mark of the same by whose start is at or before at.
@@ -17,7 +19,7 @@ def asof(points: DataFrame, marks: DataFrame, by: str, at: str, start: str, take
     empty = {c: F.lit(None).cast(points.schema[c].dataType) for c in points.columns if c != by}
     right = marks.select(F.col(by), held.alias("__mark"), F.col(start).alias("__at"), F.lit(0).alias("__kind")).withColumns(empty)
     w = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = left.unionByName(right.select(left.columns)).withColumn("__mark", F.last("__mark", ignorenulls=True).over(w))
+    met = united(left, right.select(left.columns)).withColumn("__mark", F.last("__mark", ignorenulls=True).over(w))
     return met.where("__kind = 1").select(*points.columns, *[F.col("__mark")[c].alias(c) for c in take])
 
 
@@ -30,7 +32,7 @@ def inside(points: DataFrame, ranges: DataFrame, by: str, at: str, start: str, e
     empty = {c: F.lit(None).cast(points.schema[c].dataType) for c in points.columns if c != by}
     right = ranges.select(F.col(by), F.col(start).alias("__at"), F.col(end).alias("__end"), F.lit(0).alias("__kind")).withColumns(empty)
     w = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = left.unionByName(right.select(left.columns)).withColumn("inside", F.coalesce(F.max("__end").over(w) > F.col("__at"), F.lit(False)))
+    met = united(left, right.select(left.columns)).withColumn("inside", F.coalesce(F.max("__end").over(w) > F.col("__at"), F.lit(False)))
     return met.where("__kind = 1").select(*points.columns, "inside")
 
 
@@ -79,8 +81,8 @@ def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     return out.select(by, "window_start", "seq", F.col("p.kind").alias("kind"), text.alias("segment"))
 
 
-#: Characters from one piece of a text to the next; a piece holds twice as many.
-PIECE = 1 << 16
+#: Characters from one piece of a text to the next; a piece holds twice as many. Short spans meet small pieces.
+SMALL, PIECE = 1 << 11, 1 << 16
 
 
 def pieces(doc_text: DataFrame, size: int = PIECE) -> DataFrame:
@@ -89,18 +91,20 @@ def pieces(doc_text: DataFrame, size: int = PIECE) -> DataFrame:
     return doc_text.select("doc_id", F.posexplode(found).alias("piece", "text"))
 
 
-def with_text(spans: DataFrame, doc_text: DataFrame, start: Column, end: Column, size: int = PIECE) -> DataFrame:
+def with_text(spans: DataFrame, doc_text: DataFrame, start: Column, end: Column, sizes: tuple[int, int] = (SMALL, PIECE)) -> DataFrame:
     """spans with window, some of their document's text from window_at on that holds start to end.
 
-    Each span meets one piece, so a document of many spans is not walked from its start for each; only spans that no
-    piece holds meet the whole text.
+    Each span meets one piece, of the smallest size that holds it, so a document of many spans is neither walked from its
+    start nor copied for each; only spans that no piece holds meet the whole text.
     """
-    k = F.floor(start / size).cast("int")
-    s = spans.withColumns({"__k": k, "__near": end - k * size <= 2 * size})
-    near = s.where("__near").join(pieces(doc_text, size).select("doc_id", F.col("piece").alias("__k"), F.col("text").alias("window")), ["doc_id", "__k"], "left")
-    far = s.where("not __near").join(doc_text.select("doc_id", F.col("text").alias("window")), "doc_id")
-    out = near.withColumn("window_at", F.col("__k") * size).unionByName(far.withColumn("window_at", F.lit(0)))
-    return out.withColumn("window", F.coalesce("window", F.lit(""))).drop("__k", "__near")
+    small, large = (F.struct(F.lit(n).alias("size"), F.floor(start / n).cast("int").alias("piece")) for n in sizes)
+    fits = F.when(end - small["piece"] * sizes[0] <= 2 * sizes[0], small).when(end - large["piece"] * sizes[1] <= 2 * sizes[1], large)
+    s = spans.withColumn("__p", fits)
+    cut = united(*[pieces(doc_text, n).withColumn("size", F.lit(n)) for n in sizes])
+    cut = cut.select("doc_id", F.struct("size", "piece").alias("__p"), F.col("text").alias("window"))
+    near = s.where("__p is not null").join(cut, ["doc_id", "__p"], "left").withColumn("window_at", F.col("__p.size") * F.col("__p.piece"))
+    far = s.where("__p is null").join(doc_text.select("doc_id", F.col("text").alias("window")), "doc_id").withColumn("window_at", F.lit(0))
+    return united(near, far).withColumn("window", F.coalesce("window", F.lit(""))).drop("__p")
 
 
 def collapse_repeats(rows: DataFrame, by: list[str], key: Column, text: str, seq: str, clip: int = 260) -> DataFrame:

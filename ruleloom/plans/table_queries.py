@@ -16,7 +16,7 @@ from ruleloom.operators import model as M
 from ruleloom.operators import rules as R
 from ruleloom.operators import spans as P
 from ruleloom.plans.corpus import read
-from ruleloom.session import new_path
+from ruleloom.session import new_path, written
 from ruleloom.sources import markup, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -537,7 +537,7 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, {_text("text")} AS t, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
+    f"""WITH c AS (SELECT doc_id, {_text("text")} AS t, doc_id % 3 AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
     q AS (SELECT doc_id, t, k, length(t) // 2 AS h, length(t) // 5 AS a, trim(t[length(t) // 5 + 1:length(t) // 5 + 60]) AS quote, t[1:length(t) // 2] AS half FROM c),
     n AS (SELECT *, CASE WHEN quote = '' THEN 0 ELSE len(list_filter(range(length(half) - length(quote) + 1), lambda i: half[i + 1:i + length(quote)] = quote)) END AS n FROM q)
     SELECT doc_id, CASE WHEN k = 2 AND doc_id % 2 = 0 THEN 'section-not-found' WHEN n = 0 THEN 'not-found' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS result,
@@ -546,8 +546,7 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def locate_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of the collapsed documents in their first half as a section: as they are, with doubled spaces, in a section that lacks."""
-    t = T.collapse("text")
-    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.alias("text"))
+    d = written(read(spark, sf_dir, "documents").select("doc_id", T.collapse(F.coalesce("text", F.lit(""))).alias("text")), "collapsed")
     cut = T.trim(F.substring(F.col("text"), F.floor(F.length("text") / 5).cast("int") + 1, F.lit(60)))
     quote = F.when(F.col("doc_id") % 3 == 1, F.replace(cut, F.lit(" "), F.lit("  "))).otherwise(cut)
     scope = F.when((F.col("doc_id") % 3 == 2) & (F.col("doc_id") % 2 == 0), "9").otherwise("1")
@@ -557,12 +556,39 @@ def locate_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, text, {_text("text")} AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT *, length(t) // 3 AS p FROM c WHERE t <> '')
-    SELECT doc_id, CAST(p AS INT) AS normal_at, CASE WHEN t[p + 1:p + 1] = ' ' THEN t[p + 2:p + 2] ELSE t[p + 1:p + 1] END AS symbol FROM w"""
+    f"""WITH c AS (SELECT doc_id, {_text("coalesce(text, '')")} AS t FROM documents), w AS (SELECT *, unnest(range(0, 10)) AS j FROM c), p AS (SELECT *, length(t) * j // 9 AS p FROM w)
+    SELECT doc_id, j::INT AS j, CAST(p AS INT) AS normal_at, nullif(CASE WHEN t[p + 1:p + 1] = ' ' THEN t[p + 2:p + 2] ELSE t[p + 1:p + 1] END, '') AS symbol FROM p"""
 )
 def original_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A place in each document's normal form, taken back to the original: the same character stands there, for a space the next."""
-    d = read(spark, sf_dir, "documents").where("text is not null").where(~T.is_blank("text"))
-    p = F.floor(F.length(T.collapse("text")) / 3).cast("int")
-    at = C.original_at(F.col("text"), p)
-    return d.select("doc_id", p.alias("normal_at"), F.substring(F.col("text"), at + 1, F.lit(1)).alias("symbol"))
+    """Ten places in each document's normal form, taken back to the original: the same character stands there, for a space
+    the next; at the end there is none."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    points = d.select("doc_id", F.length(T.collapse("text")).alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"), "n")
+    points = points.select("doc_id", "j", F.floor(F.col("n") * F.col("j") / 9).cast("int").alias("normal_at"))
+    places = C.originals(points, C.normal_tokens(d, "doc_id", "text"), "doc_id", "normal_at")
+    one = F.struct("j", "normal_at", "original_at")
+    met = places.groupBy("doc_id").agg(F.collect_list(one).alias("places")).join(d, "doc_id")
+    return met.select("doc_id", "text", F.explode("places").alias("p")).select(
+        "doc_id", "p.j", "p.normal_at", F.when(F.col("p.original_at").isNotNull(), F.substring(F.col("text"), F.col("p.original_at") + 1, F.lit(1))).alias("symbol")
+    )
+
+
+_QUOTES = """q AS (SELECT item_id, string_split({normal}, ' ') AS w, unnest(['opening', 'inner']) AS part FROM benchmark),
+    s AS (SELECT item_id, part, array_to_string(CASE part WHEN 'opening' THEN w[1:4] ELSE w[3:16] END, ' ') AS quote FROM q)"""
+
+
+@query(
+    f"""WITH {_QUOTES.format(normal=_text("text"))}, d AS (SELECT doc_id, {_text("text")} AS t FROM documents)
+    SELECT item_id, part, count(*) AS docs, min(doc_id) AS first_doc, sum((length(t) - length(replace(t, quote, ''))) // length(quote))::BIGINT AS times FROM s JOIN d ON contains(t, quote) AND quote <> '' GROUP BY ALL"""
+)
+def corpus_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of the benchmark's passages, which many share, and inner words of them with doubled spaces, in all documents
+    but for white space."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.split(T.collapse("text"), " ").alias("w"))
+    opening, inner = F.array_join(F.slice("w", 1, 4), " "), F.array_join(F.slice("w", 3, 14), "  ")
+    both = F.explode(F.array(*[F.struct(F.lit(part).alias("part"), x.alias("quote")) for part, x in (("opening", opening), ("inner", inner))]))
+    q = b.select("item_id", both.alias("q")).select(F.struct("item_id", "q.part").alias("key"), "q.quote")
+    met = C.contained(q, read(spark, sf_dir, "documents").select("doc_id", "text"), "key", "doc_id", normal=True)
+    t, quote = T.collapse("text"), T.collapse("quote")
+    times = (F.length(t) - F.length(F.replace(t, quote, F.lit("")))) / F.length(quote)
+    return met.groupBy("key.item_id", "key.part").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.sum(times.cast("long")).alias("times"))
