@@ -53,17 +53,18 @@ def merge_spans(spans: DataFrame, by: list[str], start: str, end: str, gap: int
 def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """Cuts each window's text at the spans that touch it; the segments joined give the window's text again.
 
-    windows: by, text, window_start; spans: by, span_start, span_end, kind. Result: by, window_start, seq, kind, segment.
+    windows: by, text, window_start; spans: by, span_start, span_end, kind. Result: by, window_start, window_end, seq, kind,
+    segment. Windows that open at one place may end at several.
     Spans that end before what is already shown are left out, as each character is shown once.
     """
     w = windows.withColumn("window_end", F.col("window_start") + F.length("text"))
     met = w.join(spans, by, "left").where(F.col("span_start").isNull() | ((F.col("span_start") < F.col("window_end")) & (F.col("span_end") > F.col("window_start"))))
-    touching = met.where("span_start is not null").groupBy(by, "window_start").agg(
+    touching = met.where("span_start is not null").groupBy(by, "window_start", "window_end").agg(
         F.array_sort(F.collect_list(F.struct("span_start", "span_end", "kind"))).alias("spans")
     )
     kind = "struct<at:int,out:array<struct<kind:string,a:int,b:int>>>"
     empty = F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")
-    full = w.join(touching, [by, "window_start"], "left").withColumn("spans", F.coalesce(F.col("spans").cast("array<struct<span_start:int,span_end:int,kind:string>>"), empty))
+    full = w.join(touching, [by, "window_start", "window_end"], "left").withColumn("spans", F.coalesce(F.col("spans").cast("array<struct<span_start:int,span_end:int,kind:string>>"), empty))
 
     def piece(kind_: Column, a: Column, b: Column) -> Column:
         return F.array(F.struct(kind_.alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b")))
@@ -76,9 +77,9 @@ def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     start = F.struct(F.col("window_start").cast("int").alias("at"), F.array().cast("array<struct<kind:string,a:int,b:int>>").alias("out")).cast(kind)
     done = full.withColumn("__acc", F.aggregate("spans", start, step))
     pieces = F.concat(F.col("__acc.out"), piece(F.lit("unchanged"), F.col("__acc.at"), F.col("window_end")))
-    out = done.select(by, "window_start", "text", F.posexplode(F.filter(pieces, lambda p: p["b"] > p["a"])).alias("seq", "p"))
+    out = done.select(by, "window_start", "window_end", "text", F.posexplode(F.filter(pieces, lambda p: p["b"] > p["a"])).alias("seq", "p"))
     text = F.substring(F.col("text"), F.col("p.a") - F.col("window_start") + 1, F.col("p.b") - F.col("p.a"))
-    return out.select(by, "window_start", "seq", F.col("p.kind").alias("kind"), text.alias("segment"))
+    return out.select(by, "window_start", "window_end", "seq", F.col("p.kind").alias("kind"), text.alias("segment"))
 
 
 #: Characters from one piece of a text to the next; a piece holds twice as many. Short spans meet small pieces.

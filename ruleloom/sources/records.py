@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.functions import decisions as D
 from ruleloom.functions import vocabulary as V
+from ruleloom.session import united, written
 
 RAW_META = (
     "document_number string, docket_ids array<string>, agencies array<struct<raw_name:string,name:string>>, title string, "
@@ -61,6 +64,39 @@ def missing(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return wanted.join(stored.select(key), key, "left_anti")
 
 
+def _generations(spark: SparkSession, own: str) -> list[int]:
+    """The finished writes to a version of a store: those with Spark's mark of success."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n.removeprefix("gen=")) for n in names if n.startswith("gen=") and fs.exists(path(f"{own}/{n}/_SUCCESS")))
+
+
+def read_through(wanted: DataFrame, store: str, version: int, shape: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, record, fetched for the keys of wanted (key string, one row each) that the store has or fetch gives.
+
+    A store keeps JSON values by version, so records of another shape than this version's are never read. A value that
+    isn't a JSON object is corrupt; its key is fetched again, like those that the store lacks. fetch gets only these
+    keys, as rows, and gives key and value. What it gives is added as one more generation, which readers see when it is
+    complete and take before earlier ones; a failed write leaves the store as it was.
+    """
+    spark, own = wanted.sparkSession, f"{store}/v{version}"
+    done = _generations(spark, own)
+    held = spark.createDataFrame([], "key string, value string, gen int")
+    if done:
+        held = spark.read.option("basePath", own).schema("key string, value string, gen int").parquet(*[f"{own}/gen={g}" for g in done])
+    last = held.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.max_by("value", "gen").alias("value"))
+    good = last.where(F.json_object_keys("value").isNotNull())
+    new = written(fetch(wanted.select("key").join(good.select("key"), "key", "left_anti")).select("key", "value"), "fetched")
+    if not new.isEmpty():
+        new.write.parquet(f"{own}/gen={max(done, default=-1) + 1}")
+    both = united(good.withColumn("fetched", F.lit(False)), new.withColumn("fetched", F.lit(True)))
+    return both.select("key", F.from_json("value", shape).alias("record"), "fetched")
+
+
 def drift(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, field, expected, actual of every difference; a row that one side lacks differs in every field."""
     e = expected.select(F.col(key), F.lit(True).alias("_e"), *[F.col(f).cast("string").alias(f"e_{f}") for f in fields])

@@ -39,3 +39,24 @@ def ingest(spark: SparkSession, path: str, schema: str, run: Callable[[DataFrame
 
     stream = spark.readStream.schema(schema).parquet(path)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_latest(events: DataFrame, by: list[str], order: Column, value: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the latest value of each key of a stream up to date: each batch writes the keys that changed.
+
+    The state has one row a key, so it grows with the keys, not with the events. A batch's rows are written by its number
+    and overwritten when it is run again after a failure, so each event counts once; the checkpoint says where to go on.
+    """
+
+    def batch(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows = latest(events, by, order, value)
+    return rows.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
+    """What follow_latest() has kept: each key's row of its last batch."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*by, "batch")]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*by, "r.*")

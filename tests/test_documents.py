@@ -144,7 +144,7 @@ def test_dispositions_are_checked(spark, a):
 def test_report_and_source_window(spark, a, tmp_path):
     html = sinks.report(a, "rich")
     assert "Section 1.1. Rates" in html and "<script" not in html
-    w = sinks.source_windows(a, spark.createDataFrame([("rich", 0, 10), ("rich", 5, 5), ("rich", 0, 30000)], "doc_id string, start int, end int"), pad=5)
+    w = sinks.source_windows(a.doc_text, a.edits, spark.createDataFrame([("rich", 0, 10), ("rich", 5, 5), ("rich", 0, 30000)], "doc_id string, start int, end int"), pad=5)
     rows = sorted((r["start"], r["end"], r["error"] is None) for r in w.collect())
     assert rows == [(0, 10, True), (0, 30000, False), (5, 5, False)]
     sinks.write_results(a, str(tmp_path / "out"))
