@@ -7,41 +7,49 @@ to the fault and says so in error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
+from ruleloom.operators.spans import PIECE
+from ruleloom.session import written
 
-#: Documents whose elements are built together.
-TOGETHER = 64
+#: Documents, or rows of a document in chunks, that are built together, and characters that a parser is fed at once.
+TOGETHER, FED = 64, 1 << 20
 ELEMENT = "struct<seq:int,tag:string,attrs:map<string,string>,ancestors:array<string>,span_start:int,span_end:int,text:string>"
 
 
-class _Projection:
-    """Collects text and spans while expat reads; elements as columns, in order of their starts."""
+class _Reader:
+    """What expat reads as text and spans: which text counts, and where elements open and close in it."""
 
     def __init__(self) -> None:
-        self.parts: list[str] = []
         self.size = 0
         self.last = ""
-        self.tags: list[str] = []
-        self.attrs: list[dict[str, str]] = []
-        self.paths: list[tuple[str, ...]] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.open: list[int] = []
         self.path: tuple[str, ...] = ()
         self.skipping = 0
+        self.parser = expat.ParserCreate()
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self.start, self.end, self.chars
+
+    def keep(self, text: str) -> None:
+        raise NotImplementedError
+
+    def opened(self, tag: str, attrs: dict[str, str]) -> None:
+        raise NotImplementedError
+
+    def closed(self) -> None:
+        raise NotImplementedError
 
     def add(self, text: str) -> None:
         if text:
-            self.parts.append(text)
+            self.keep(text)
             self.size += len(text)
             self.last = text[-1]
 
@@ -49,12 +57,7 @@ class _Projection:
         mark = tag == V.FOOTNOTE_MARK and V.FOOTNOTE not in self.path
         if self.skipping or mark or tag in V.SKIPPED_TAGS:
             self.skipping += 1
-        self.open.append(len(self.tags))
-        self.tags.append(tag)
-        self.attrs.append(attrs)
-        self.paths.append(self.path)
-        self.starts.append(self.size)
-        self.ends.append(self.size)
+        self.opened(tag, attrs)
         self.path += (tag,)
 
     def chars(self, text: str) -> None:
@@ -66,17 +69,97 @@ class _Projection:
         self.skipping -= self.skipping > 0
         if tag in V.BLOCK_TAGS and self.last != "\n":
             self.add("\n")
+        self.closed()
+
+
+class _Projection(_Reader):
+    """A whole document: its text, and its elements as columns, in order of their starts."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parts: list[str] = []
+        self.tags: list[str] = []
+        self.attrs: list[dict[str, str]] = []
+        self.paths: list[tuple[str, ...]] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.open: list[int] = []
+
+    def keep(self, text: str) -> None:
+        self.parts.append(text)
+
+    def opened(self, tag: str, attrs: dict[str, str]) -> None:
+        self.open.append(len(self.tags))
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.paths.append(self.path)
+        self.starts.append(self.size)
+        self.ends.append(self.size)
+
+    def closed(self) -> None:
         self.ends[self.open.pop()] = self.size
 
 
+class _Stream(_Reader):
+    """A document that comes in chunks: text is handed on in blocks, elements as they close; what is open is all that stays."""
+
+    def __init__(self, block: int) -> None:
+        super().__init__()
+        self.block, self.blocks, self.seq = block, 0, 0
+        self.parts: list[str] = []
+        self.waiting = 0
+        self.open: list[tuple] = []
+        self.rows: list[tuple] = []  # as ROW has them, without doc_id
+        self.error: str | None = None
+
+    def keep(self, text: str) -> None:
+        self.parts.append(text)
+        self.waiting += len(text)
+        if self.waiting >= self.block:
+            self.cut(self.block)
+
+    def cut(self, least: int) -> None:
+        """Hands on all whole blocks, and with least 1 the rest."""
+        text, at = "".join(self.parts), 0
+        while len(text) - at >= least:
+            self.rows.append((self.blocks, text[at : at + self.block], *[None] * 7))
+            at += self.block
+            self.blocks += 1
+        self.parts, self.waiting = [text[at:]], max(0, len(text) - at)
+
+    def opened(self, tag: str, attrs: dict[str, str]) -> None:
+        self.open.append((self.seq, tag, list(attrs.items()), self.path, self.size))
+        self.seq += 1
+
+    def closed(self) -> None:
+        self.rows.append((None, None, *self.open.pop(), self.size, None))
+
+    def feed(self, xml: str, last: bool = False) -> None:
+        """Chunks may end anywhere between two characters; after a fault the rest of the document is passed over."""
+        try:
+            for at in range(0, max(1, len(xml)), FED):
+                if self.error is None:
+                    self.parser.Parse(xml[at : at + FED].encode(), last and at + FED >= len(xml))
+        except expat.ExpatError as e:
+            self.error = str(e)
+            self.parser.buffer_text = False
+
+    def finish(self) -> None:
+        """As for a whole document, text up to a fault stays; an element that never closes ends where it starts."""
+        self.feed("", last=True)
+        self.cut(1)
+        for held in self.open:
+            self.rows.append((None, None, *held, held[-1], None))
+        self.rows.append((*[None] * 8, self.error or ""))
+
+
 def read_xml(xml: str) -> tuple[str, _Projection, str | None]:
-    p, parser, error = _Projection(), expat.ParserCreate(), None
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = p.start, p.end, p.chars
+    p, error = _Projection(), None
     try:
-        parser.Parse(xml.encode(), True)
+        p.parser.Parse(xml.encode(), True)
     except expat.ExpatError as e:
         error = str(e)
+        p.parser.buffer_text = False  # hands on what it holds
     return "".join(p.parts), p, error
 
 
@@ -132,6 +215,72 @@ def elements(projected: DataFrame) -> DataFrame:
     return projected.select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*")
 
 
+ROW = "piece int, text string, seq int, tag string, attrs map<string,string>, ancestors array<string>, span_start int, span_end int, error string"
+
+
+def streamed(rows: Iterator[tuple], block: int) -> Iterator[tuple[object, list[tuple]]]:
+    """(doc_id, rows as in ROW) of chunks (doc_id, xml), which come in order, each document's together.
+
+    Memory holds a chunk, a block of text and the elements that are open, whatever the document's size.
+    """
+    reader, doc = None, None
+    for own, xml in rows:
+        if reader is None or own != doc:
+            if reader is not None:
+                reader.finish()
+                yield doc, reader.rows
+            reader, doc = _Stream(block), own
+        reader.feed(xml or "")
+        if len(reader.rows) >= TOGETHER:
+            yield doc, reader.rows
+            reader.rows = []
+    if reader is not None:
+        reader.finish()
+        yield doc, reader.rows
+
+
+def project_chunks(chunks: DataFrame, order: str = "chunk", block: int = PIECE, store: Callable[[DataFrame, str], DataFrame] = written) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents too large for a row: blocks (doc_id, piece, text), elements (as elements() gives them, without their
+    text) and faults (doc_id, error, which is empty where there is none). chunks: doc_id, xml, and their order.
+
+    A document is read by one task, as mark-up must be, which hands its parser's state on from chunk to chunk; no row and
+    no task ever holds a document. All of block's characters lie in one row, so spans find theirs by division.
+    """
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {ROW}"
+    own = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r["doc_id"], r["xml"]) for batch in batches for at in range(0, batch.num_rows, TOGETHER) for r in batch.slice(at, TOGETHER).to_pylist())
+        for doc, found in streamed(rows, block):
+            columns = zip(*[(doc, *row) for row in found], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, own, strict=True)], schema=own)
+
+    read = chunks.select("doc_id", "xml", order).repartition("doc_id").sortWithinPartitions("doc_id", order).select("doc_id", "xml")
+    found = store(read.mapInArrow(run, schema), "chunks")
+    blocks, faults = found.where("piece is not null").select("doc_id", "piece", "text"), found.where("error is not null").select("doc_id", "error")
+    return blocks, found.where("seq is not null").drop("piece", "text", "error"), faults
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path), chunk and xml of XML files of any size: a chunk is a line."""
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(F.col("_metadata.file_path").alias("doc_id"), place.alias("chunk"), F.concat("value", F.lit("\n")).alias("xml"))
+
+
+def block_texts(spans: DataFrame, blocks: DataFrame, by: list[str], block: int = PIECE) -> DataFrame:
+    """spans (doc_id, span_start, span_end, ...) with text, put together from the blocks that they touch; by tells the spans
+    of a document apart. A block's row is met by the spans in it, so take the spans that are wanted only."""
+    last = F.floor(F.greatest(F.col("span_start"), F.col("span_end") - 1) / block).cast("int")
+    each = spans.withColumn("piece", F.explode(F.sequence(F.floor(F.col("span_start") / block).cast("int"), last)))
+    met = each.join(blocks.withColumnRenamed("text", "__text"), ["doc_id", "piece"], "left")
+    shift = F.col("piece") * block
+    part = F.coalesce(T.cut("__text", F.col("span_start") - shift, F.col("span_end") - shift), F.lit(""))
+    texts = met.groupBy("doc_id", *by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", part.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return spans.join(texts, ["doc_id", *by])
+
+
 def html_tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Loose HTML as tokens: id, seq, token, is_tag, tag, closing, text_start (characters of text before it)."""
     found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit("<[^>]*>|[^<]+"), F.lit(0))
