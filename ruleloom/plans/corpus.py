@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.plans.analysis import Analysis
-from ruleloom.session import written
+from ruleloom.session import drop_written, written
 from ruleloom.sources import markup
 
 KINDS = 10
@@ -85,22 +85,30 @@ _KNOWN: dict[tuple, Analysis] = {}
 
 
 def _version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
-    """Tells a table's present files from later ones at the same path."""
+    """Tells a table's present files from others at the same path, by all files' paths, sizes and times."""
     out = []
     for t in tables:
-        at = F.col("_metadata.file_modification_time")
-        out += read(spark, sf_dir, t).agg(F.max(at), F.count("*")).first()
+        files = read(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out += files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
     return tuple(out)
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make) -> Analysis:
     """The analysis that make() gives, made once for a session and the tables' files."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), name, sf_dir, *_version(spark, sf_dir, tables))
+    key = (spark._jsparkSession.sessionUUID(), spark.conf.get("spark.checkpoint.dir", None), name, sf_dir, *_version(spark, sf_dir, tables))
     if key not in _KNOWN:
         _KNOWN[key] = make()
     return _KNOWN[key]
 
 
+def drop_shared(spark: SparkSession) -> int:
+    """Forgets this session's analyses and deletes all tables that it has written; gives their number."""
+    own = spark._jsparkSession.sessionUUID()
+    for key in [k for k in _KNOWN if k[0] == own]:
+        del _KNOWN[key]
+    return drop_written(spark)
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     def make() -> Analysis:
         docs = documents(spark, sf_dir)

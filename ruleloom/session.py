@@ -40,9 +40,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/ruleloom-{name}-{uuid.uuid4().hex}"
 
 
+#: What written() wrote, by session.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to a new path. Steps that several others read are written once: that cuts their lineage and
-    outlives lost executors."""
+    outlives lost executors. The table stays until drop_written() or the cluster clears its folder."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.setdefault(_session(df.sparkSession), []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that written() wrote in this session, and gives their number; what still reads them fails."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN.pop(_session(spark), [])]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths)

@@ -142,3 +142,24 @@ def test_reports_cut_lists_and_fall_back(spark, monkeypatch):
     assert y["provisions"] == "<h2>Outline</h2><ul><li>Top &amp; more<ul><li>Kid</li></ul></li><li>Next<ul></ul></li></ul>" and y["bar"] == "<p>No marked-up edits.</p>" and y["tiers"] == "<li>T2: no (none)</li>"
     html = {r["doc_id"]: r["html"] for r in sinks.reports(a).collect()}
     assert len(html) == 2 and html["x"].startswith("<!doctype html>") and "<script" not in html["x"]
+
+
+def test_written_tables_and_shared_analyses(spark, tmp_path):
+    """A rewritten file makes a new analysis, whatever its time and rows; each session drops its own tables."""
+    from ruleloom import session
+    from ruleloom.plans import corpus
+
+    other = spark.newSession()
+    mine = session.written(other.range(3), "mine")
+    made, path = [], str(tmp_path / "t.parquet")
+
+    def get(n):
+        other.range(n, n + 5).write.mode("overwrite").parquet(path)
+        return corpus.shared(other, str(tmp_path), "x", ("t",), lambda: made.append(n) or n)
+
+    assert [get(1), get(100_000)] == [1, 100_000]
+    assert corpus.shared(other, str(tmp_path), "x", ("t",), lambda: 0) == 100_000
+    assert mine.count() == 3 and session.drop_written(spark.newSession()) == 0
+    assert corpus.drop_shared(other) == 1 and corpus.shared(other, str(tmp_path), "x", ("t",), lambda: 7) == 7
+    with pytest.raises(Exception, match="NOT_EXIST|PATH_NOT_FOUND"):
+        mine.collect()
