@@ -9,19 +9,22 @@ from ruleloom.functions import decisions as D
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators.citations import located
+from ruleloom.operators.spans import asof, with_text
 
 
 def blocks(sections: DataFrame, doc_text: DataFrame, paragraphs: DataFrame, convention: V.Convention) -> DataFrame:
     """One row per decision block: its section, references, amended references, first paragraph number, and text."""
     leaf = T.trim(F.element_at("heading_path", -1))
-    s = sections.where(T.matches(leaf, convention.determination)).join(doc_text.select("doc_id", F.col("text").alias("__all")), "doc_id")
-    s = s.withColumn("text", T.cut("__all", F.col("span_start"), F.col("span_end"))).drop("__all")
-    p = paragraphs.select("doc_id", F.col("span_start").alias("at"), "number")
-    inside = s.select("doc_id", "section_id", "span_start", "span_end").join(p, "doc_id").where("at >= span_start and at < span_end")
-    first = inside.groupBy("doc_id", "section_id").agg(F.min_by("number", "at").alias("paragraph_number"))
+    s = with_text(sections.where(T.matches(leaf, convention.determination)), doc_text, F.col("span_start"), F.col("span_end"))
+    own = T.cut("window", F.col("span_start") - F.col("window_at"), F.col("span_end") - F.col("window_at"))
+    s = s.withColumn("text", own).drop("window", "window_at")
+    # the first paragraph from the block's start on, by an as-of join in reverse
+    p = paragraphs.select("doc_id", F.struct(F.col("span_start").alias("at"), "number").alias("next"), F.negative("span_start").alias("back"))
+    s = asof(s.withColumn("__back", F.negative("span_start")), p, "doc_id", "__back", "back", ["next"]).drop("__back")
+    number = F.when(F.col("next.at") < F.col("span_end"), F.col("next.number"))
     refs, amended = F.filter(D.cross_refs(F.col("text")), D.is_provision_ref), F.filter(D.directive_refs(F.col("text")), D.is_provision_ref)
-    s = s.withColumns({"all_refs": D.cross_refs(F.col("text")), "cross_refs": refs, "amended_refs": amended, "disposition": F.lit("unclassified")})
-    return s.join(first, ["doc_id", "section_id"], "left")
+    s = s.withColumn("paragraph_number", number).drop("next")
+    return s.withColumns({"all_refs": D.cross_refs(F.col("text")), "cross_refs": refs, "amended_refs": amended, "disposition": F.lit("unclassified")})
 
 
 def reference_stats(blocks: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
-from ruleloom.operators.spans import inside, with_text
+from ruleloom.operators.spans import inside, pattern_spans, with_text
 from ruleloom.operators.structure import section_at
 from ruleloom.session import united
 
-DELETION = r"\[([^\[\]]*)\]"
+DELETION = r"\[[^\[\]]*\]"
 
 
 def regions(doc_text: DataFrame, bodies: DataFrame, convention: V.Convention) -> DataFrame:
@@ -26,13 +26,9 @@ def regions(doc_text: DataFrame, bodies: DataFrame, convention: V.Convention) ->
 
 
 def bracket_spans(texts: DataFrame, by: str, text: str) -> DataFrame:
-    """by, at, inner: place (from 0) and content of each innermost bracket pair, by running lengths of parts and matches."""
-    parts, found = F.split(F.col(text), DELETION, -1), F.regexp_extract_all(F.col(text), F.lit(DELETION), F.lit(1))
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("inner")))
-    e = texts.select(by, F.posexplode(pairs).alias("k", "p")).select(by, "k", "p.*")
-    upto = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("skip") + F.length("inner") + 2).over(upto)
-    return e.select(by, (end - F.length("inner") - 2).cast("int").alias("at"), "inner")
+    """by, at, inner: place (from 0) and content of each innermost bracket pair."""
+    found = pattern_spans(texts, by, text, DELETION)
+    return found.select(by, "at", F.expr("substring(match, 2, length(match) - 2)").alias("inner"))
 
 
 def edits(regions: DataFrame, italics: DataFrame, footnotes: DataFrame, sections: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def asof(points: DataFrame, marks: DataFrame, by: str, at: str, start: str, take
     return met.where("__kind = 1").select(*points.columns, *[F.col("__mark")[c].alias(c) for c in take])
 
 
-def inside(points: DataFrame, ranges: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
-    """points with inside: whether some half-open range of the same by holds at; ranges may overlap.
+def inside(points: DataFrame, ranges: DataFrame, by: str, at: str, start: str, end: str, until: str | None = None) -> DataFrame:
+    """points with inside: whether some half-open range of the same by holds at, or all from at to until; ranges may overlap.
 
     A sweep over starts and points in order carries the furthest end so far, so no pair is ever formed.
     """
@@ -32,10 +32,20 @@ def inside(points: DataFrame, ranges: DataFrame, by: str, at: str, start: str, e
     empty = {c: F.lit(None).cast(points.schema[c].dataType) for c in points.columns if c != by}
     right = ranges.select(F.col(by), F.col(start).alias("__at"), F.col(end).alias("__end"), F.lit(0).alias("__kind")).withColumns(empty)
     w = Window.partitionBy(by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = united(left, right.select(left.columns)).withColumn("inside", F.coalesce(F.max("__end").over(w) > F.col("__at"), F.lit(False)))
+    met = united(left, right.select(left.columns)).withColumn("inside", F.coalesce(F.max("__end").over(w) >= (F.col(until) if until else F.col("__at") + 1), F.lit(False)))
     return met.where("__kind = 1").select(*points.columns, "inside")
 
 
+def pattern_spans(texts: DataFrame, by: str, text: str, pattern: str) -> DataFrame:
+    """by, at, match: place (from 0) and text of each match, by running lengths of the parts between them and the matches."""
+    parts, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("match")))
+    e = texts.select(by, F.posexplode(pairs).alias("k", "p")).select(by, "k", "p.*")
+    upto = Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("skip") + F.length("match")).over(upto)
+    return e.select(by, (end - F.length("match")).cast("int").alias("at"), "match")
+
+
 def islands(spans: DataFrame, by: list[str], start: str, end: str, gap: int | Column = 0) -> DataFrame:
     """Adds island: spans that overlap or lie within gap of what came before share a number, from 0."""
     order = Window.partitionBy(*by).orderBy(start, end)

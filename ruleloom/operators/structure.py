@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ruleloom.functions import decisions as D
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
-from ruleloom.operators.spans import asof
+from ruleloom.operators.spans import asof, inside, pattern_spans
 
 LEVELS = range(10)
 
@@ -48,8 +48,9 @@ def section_tree(headings: DataFrame, ends: DataFrame) -> DataFrame:
     h = h.withColumn("__last", chain(F.struct("seq", "title", "ordinal"))).withColumn("__up", valid(F.col("__last")))
     ordinals = F.transform("__up", lambda p: p["x"]["ordinal"].cast("string"))
     titles = F.transform("__up", lambda p: p["x"]["title"])
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    end = [F.first(F.when(F.col("level") <= k, F.col("span_start")), ignorenulls=True).over(after) for k in LEVELS]
+    # what follows is carried backwards, as a frame that opens forwards is read anew for each row
+    after = Window.partitionBy("doc_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    end = [F.last(F.when(F.col("level") <= k, F.col("span_start")), ignorenulls=True).over(after) for k in LEVELS]
     appendix = (F.col("level") == 1) & T.matches("title", r"(?i)^Appendix[WS]+[A-Z0-9]")
     seen = F.max(appendix).over(order.rowsBetween(Window.unboundedPreceding, 0))
     h = h.withColumn("__end", F.get(F.array(*end), F.col("level"))).withColumn("region", F.when(seen, "appendix").otherwise("preamble"))
@@ -126,12 +127,10 @@ def with_convention(meta: DataFrame, conventions: tuple[V.Convention, ...] = V.C
 def capabilities(docs: DataFrame, sections: DataFrame, doc_text: DataFrame, convention: V.Convention) -> DataFrame:
     """doc_id, tier, available, reason. docs: doc_id, convention_id."""
     leaf = T.trim(F.element_at("heading_path", -1))
-    s = sections.join(doc_text.select("doc_id", "text"), "doc_id")
-    own = T.cut("text", F.col("span_start"), F.col("span_end"))
-    found = s.groupBy("doc_id").agg(
-        F.count_if(T.matches(leaf, convention.determination)).alias("blocks"), F.count_if(T.matches(own, convention.legend)).alias("legends")
-    )
-    d = docs.join(found, "doc_id", "left").fillna(0, ["blocks", "legends"])
+    found = sections.groupBy("doc_id").agg(F.count_if(T.matches(leaf, convention.determination)).alias("blocks"))
+    said = pattern_spans(doc_text, "doc_id", "text", T.pattern(convention.legend)).withColumn("end", F.col("at") + F.length("match"))
+    legends = inside(said, sections, "doc_id", "at", "span_start", "span_end", "end").groupBy("doc_id").agg(F.count_if("inside").alias("legends"))
+    d = docs.join(found, "doc_id", "left").join(legends, "doc_id", "left").fillna(0, ["blocks", "legends"])
     known = F.col("convention_id") == convention.id
     none = F.lit("no conventions are registered for this agency")
     t2, t3 = F.coalesce(known & (F.col("blocks") > 0), F.lit(False)), F.coalesce(known & (F.col("legends") > 0), F.lit(False))
