@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions import decisions as D
 from ruleloom.functions import vocabulary as V
+from ruleloom.operators import citations as C
+from ruleloom.operators import determinations as G
 from ruleloom.operators import model as M
+from ruleloom.operators import redline as E
+from ruleloom.operators import structure as S
 from ruleloom.plans.corpus import analysis, read
 from ruleloom.plans.corpus_queries import ENTRIES
 from ruleloom.plans.table_queries import ORACLE_SQL as TABLE_SQL
@@ -163,3 +167,35 @@ def source_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.md5(F.array_join(F.transform("segments", lambda x: F.concat_ws(":", x["kind"], x["segment"])), "|"))
     back = F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
     return out.select(back.alias("doc_id"), "start", "end", "error", shown.alias("shown"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'fits' WHEN o_orderkey % 5 IN (2, 3) THEN 'no redline convention is registered for this agency' ELSE 'no legend declares the mark-up' END AS reason
+    FROM orders WHERE o_orderkey % 4 IN (0, 1)"""
+)
+def substantive_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents of all types the substantive ones, with why they have no edits: an agency without conventions, known by
+    any of its names, or no legend."""
+    k = F.col("o_orderkey")
+    kinds = F.get(F.array(*map(F.lit, ("Rule", "Proposed Rule", "Notice", None))), (k % 4).cast("int"))
+    agency = F.when(k % 5 == 2, "ENVIRONMENTAL PROTECTION AGENCY").when(k % 5 == 3, "").otherwise("DEPARTMENT OF ENERGY")
+    names = F.when(k % 5 == 3, F.array().cast("array<string>")).when(k % 5 == 2, F.array(F.lit("Agency"))).otherwise(F.array(F.lit("Energy"), F.lit("Federal energy regulatory commission")))
+    meta = read(spark, sf_dir, "orders").select(k.alias("doc_id"), kinds.alias("type"), agency.alias("agency"), names.alias("agencies"))
+    docs = S.with_convention(records.substantive(meta))
+    regions = docs.where(F.col("doc_id") % 5 < 2).select("doc_id")
+    return E.extraction_reason(docs, regions).select("doc_id", F.coalesce("reason", F.lit("fits")).alias("reason"))
+
+
+_DUE = (("1 day", 1, "days", "unstated"), ("90 days from publication", 90, "days", "publication"), ("1 year from effective", 1, "years", "effective"), ("18 months", 18, "months", "unstated"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT doc_id, CASE doc_id % 4 {" ".join(f"WHEN {i} THEN '{x[0]}'" for i, x in enumerate(_DUE))} END AS due, md5(CASE WHEN length(text) > 80 THEN text[1:80] || '…' ELSE text END) AS shown FROM d"""
+)
+def clipped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader is shown: quotes clipped to their first characters, periods in words."""
+    k = (F.col("doc_id") % 4).cast("int")
+    count, unit, anchor = (F.get(F.array(*[F.lit(x[i]) for x in _DUE]), k) for i in (1, 2, 3))
+    shown = F.md5(C.clipped(F.coalesce("text", F.lit(""))))
+    return read(spark, sf_dir, "documents").select("doc_id", G.described(count, unit, anchor).alias("due"), shown.alias("shown"))
