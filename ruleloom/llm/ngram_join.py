@@ -6,7 +6,8 @@
    that shingle allow the threshold, are pairs. In a crowded shingle's bucket groups are first paired with one hub only.
 3. Group pairs expand to pairs of sets; a parity signature bounds each pair's difference from below and drops most;
    the rest are verified on the whole sets.
-4. Links give components. Where a crowded bucket then still holds several components, its sets meet HUBS more hubs of
+4. Links give components. In crowded buckets only groups stay whose size and place some other there allows; documents of
+   one template that differ too much end here. Where such a bucket then still holds several components, its sets meet HUBS more hubs of
    other components, in up to ROUNDS rounds: members of a cluster of near copies soon share one component, at about m
    comparisons a round instead of m squared.
 5. Buckets that even then hold several components are searched by parts. Sets that reach the threshold differ in at
@@ -48,6 +49,8 @@ GROUP = 16
 #: Rounds of hubs, and hubs of a crowded bucket in each. They set the speed: what they leave open goes by parts.
 ROUNDS = 1
 HUBS = 16
+#: Rows of a crowded part that stay together, about.
+TILE = 2048
 #: 64-bit words of a signature at least; a larger set has as many bits as shingles, rounded up to a power of two.
 WORDS = 16
 FOLDED = 4  # words of its short form
@@ -319,11 +322,28 @@ class _Join:
         )
         return scratch(met.where(reach("s_a", "s_b")).select("a", "b"), "verified")
 
+    def live(self) -> DataFrame:
+        """The rows of large buckets that some row there may link with, by sizes and places.
+
+        With its shingle as the first in common, a row can reach sizes up to its limit only. Any two linked sets are live in
+        the bucket of their first common shingle; rows that only share a template's late shingles aren't.
+        """
+        num, den = self.num, self.den
+        limit = F.floor((num + den) * (F.col("n") - F.col("pos") + 1) / num) - F.col("n")
+        band = F.floor(F.log("n") / F.log(F.lit(den / num)))
+        large = self.tokens.where("large").select("token", "node", "n", limit.alias("limit"), band.alias("band"))
+        sizes = large.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("limit").alias("hi"))
+        # linked sets lie in one band or in neighbours; one more on each side allows for rounded logarithms
+        near = sizes.select("token", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"), F.struct("lo", "hi").alias("x"))
+        near = scratch(near.groupBy("token", "band").agg(F.collect_list("x").alias("near")), "near")
+        met = large.join(broadcast_if_small(near, 128), ["token", "band"])
+        return met.where(F.exists("near", lambda x: (F.col("limit") >= x["lo"]) & (F.col("n") <= x["hi"]))).select("token", "node")
+
     def open_sets(self, roots: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """The sets of large buckets that hold several components: set, n, sig, fold, tokens (of such buckets), root."""
         roots = roots.withColumnRenamed("id", "set")
         if before is None:
-            large = self.tokens.where("large").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+            large = self.live().groupBy("node").agg(F.collect_list("token").alias("tokens"))
             members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
             before = large.join(members, "node")
         met = before.select("set", "n", "sig", "fold", "tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -360,12 +380,16 @@ class _Join:
                     yield pd.DataFrame({c: some[c].to_numpy().repeat(sizes) for c in ("set", "n", "root")} | {"key": np.concatenate(keys)})
 
         parts = scratch(open_.select("set", "n", "root").join(made, "set").mapInPandas(deal, "set binary, n int, root binary, key long"), "parts")
-        held = parts.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("most"), F.count("*").alias("k"))
-        held = broadcast_if_small(scratch(held.where("k > 1").select("key", "most"), "open-parts"), 64)
+        held = parts.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("most"), F.count("*").alias("k"), F.sum("c").alias("c"))
+        held = held.where("k > 1").select("key", "most", F.ceil(F.col("c") / TILE).alias("tiles"))
+        held = broadcast_if_small(scratch(held, "open-parts"), 72)
         # only rows whose part agrees with one of another component's set get their signatures, for the join's condition
         met = scratch(parts.join(held, "key").join(open_.select("set", "sig", "fold"), "set"), "met-in-parts")
-        a, b = (met.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "root", "sig", "fold", "most")]) for s in "ab")
-        met = a.where("root_a <> most_a").join(b, "key").where(F.expr(f"root_a <> root_b and {_sizes(num, den)} and {_near(num, den)}"))
+        a, b = (met.select("key", "tiles", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "root", "sig", "fold", "most")]) for s in "ab")
+        # a crowded part is dealt into tiles, which the rows of smaller components visit one by one
+        a = a.where("root_a <> most_a").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
+        b = b.withColumn("tile", F.pmod(F.xxhash64("set_b", F.lit(5)), F.col("tiles"))).drop("tiles")
+        met = a.join(b, ["key", "tile"]).where(F.expr(f"root_a <> root_b and {_sizes(num, den)} and {_near(num, den)}"))
         return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
     def links(self) -> DataFrame:

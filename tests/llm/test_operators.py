@@ -115,6 +115,31 @@ def test_ngram_join(docs, texts, n, num):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(texts, n, num, 100)
 
 
+def test_ngram_join_leaves_near_threshold_templates_early(spark, monkeypatch):
+    """Documents of one template just below the threshold: none links, and none goes on to be searched by parts."""
+    monkeypatch.setattr(ngram_join, "LARGE", 16)
+    body = [f"c{i}" for i in range(188)]
+    texts = [" ".join([*body, *(f"own{d}x{i}" for i in range(12))]) for d in range(150)]
+    searched, parts = [], ngram_join._Join.part_pairs
+    monkeypatch.setattr(ngram_join._Join, "part_pairs", lambda self, open_, made: searched.append(open_.count()) or parts(self, open_, made))
+    got = ngram_join.ngram_components(table(spark, texts), 3, 90, 100).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 150 and not searched
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_ngram_join_of_templates_around_the_threshold(spark, monkeypatch, tile):
+    """As before, with own parts of several lengths, so that some link and buckets stay open for parts, in tiles."""
+    for name, value in (("LARGE", 4), ("HUBS", 1), ("TILE", tile)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(tile)
+    body = [f"c{i}" for i in range(120)]
+    texts = [" ".join([*body[: rng.randint(100, 120)], *(f"own{d % 20}x{i}" for i in range(rng.randint(0, 12)))]) for d in range(60)]
+    docs = table(spark, texts)
+    got = ngram_join.ngram_components(docs, 3, 90, 100)
+    rows = [(r["doc_id"], r["text"], None) for r in docs.collect()]
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 3, 90, 100)
+
+
 def test_ngram_join_on_clusters_beyond_a_bucket(spark, monkeypatch):
     """Near copies, chains and a passage that many share, with buckets made small so that hubs and the rest are used."""
     monkeypatch.setattr(ngram_join, "LARGE", 4)
