@@ -9,7 +9,7 @@ from ruleloom.functions import decisions as D
 from ruleloom.functions import text as T
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators.redline import reading
-from ruleloom.operators.spans import islands
+from ruleloom.operators.spans import islands, overlaps, with_text
 from ruleloom.operators.structure import section_at
 from ruleloom.session import united
 
@@ -65,16 +65,18 @@ def passages(classified: DataFrame, buckets: DataFrame, sections: DataFrame, doc
     w = islands(w, ["doc_id", "section_id"], "a", "b", wide).groupBy("doc_id", "section_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     w = w.join(s, ["doc_id", "section_id"])
     w = w.withColumns({"lo": F.greatest("s_lo", "a"), "hi": F.least("s_hi", "b")})
-    e = classified.select("doc_id", F.explode("edits").alias("e"))
-    met = w.join(e, "doc_id").where("e.span_start < hi and e.span_end > lo")
+    e = classified.select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.span_start", "e.span_end", "e.kind", "e.text")
     keys = ["doc_id", "section_id", "island"]
-    met = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e.span_start", "e.span_end", "e.kind", "e.text"))).alias("edits"))
-    w = w.join(met, keys).join(doc_text.select("doc_id", F.col("text").alias("__text")), "doc_id").join(buckets.select("doc_id", "section_id", "category"), ["doc_id", "section_id"])
+    met = overlaps(w.select(*keys, "lo", "hi"), e, "doc_id", "lo", "hi")
+    met = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "kind", "text"))).alias("edits"))
+    w = w.join(met, keys).join(buckets.select("doc_id", "section_id", "category"), ["doc_id", "section_id"])
     low = F.greatest("s_lo", F.least("lo", F.array_min(F.transform("edits", lambda x: x["span_start"]))))
     high = F.least("s_hi", F.greatest("hi", F.array_max(F.transform("edits", lambda x: x["span_end"]))))
-    w = w.withColumns({"start": low, "end": high})
+    w = with_text(w.withColumns({"start": low, "end": high}), doc_text, F.col("start"), F.col("end"))
+    here = F.col("window_at")
+    own = F.transform("edits", lambda x: F.struct((x["span_start"] - here).alias("span_start"), (x["span_end"] - here).alias("span_end"), x["kind"].alias("kind"), x["text"].alias("text")))
     for side, kind in (("after", "addition"), ("before", "deletion")):
-        text = reading(F.col("__text"), F.col("edits"), F.col("start"), F.col("end"), kind)
+        text = reading(F.col("window"), own, F.col("start") - here, F.col("end") - here, kind)
         w = w.withColumn(side, T.replace(text, r"\[[WS]*\]", ""))
     at = F.lit(None).cast("int")
     for name in V.SIGNAL_ORDER:

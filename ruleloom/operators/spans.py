@@ -60,6 +60,24 @@ def merge_spans(spans: DataFrame, by: list[str], start: str, end: str, gap: int
     return islands(spans, by, start, end, gap).groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
 
+#: Characters from one piece of a text to the next; a piece holds twice as many. Short spans meet small pieces.
+SMALL, PIECE = 1 << 11, 1 << 16
+
+
+def overlaps(windows: DataFrame, spans: DataFrame, by: str, lo: str, hi: str, size: int = SMALL) -> DataFrame:
+    """Pairs of windows (lo to hi) and spans (span_start to span_end) of the same by that overlap: all columns of both.
+
+    Both are dealt into buckets by their places, so only neighbours meet; a pair counts in the first bucket they share.
+    """
+
+    def dealt(df: DataFrame, a: str, b: str, first: str) -> DataFrame:
+        k = F.floor(F.col(a) / size).cast("int")
+        return df.withColumn(first, k).withColumn("__k", F.explode(F.sequence(k, F.floor(F.greatest(F.col(a), F.col(b) - 1) / size).cast("int"))))
+
+    met = dealt(windows, lo, hi, "__w").join(dealt(spans, "span_start", "span_end", "__s"), [by, "__k"])
+    return met.where((F.col("__k") == F.greatest("__w", "__s")) & (F.col("span_start") < F.col(hi)) & (F.col("span_end") > F.col(lo))).drop("__k", "__w", "__s")
+
+
 def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     """Cuts each window's text at the spans that touch it; the segments joined give the window's text again.
 
@@ -68,8 +86,8 @@ def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     Spans that end before what is already shown are left out, as each character is shown once.
     """
     w = windows.withColumn("window_end", F.col("window_start") + F.length("text"))
-    met = w.join(spans, by, "left").where(F.col("span_start").isNull() | ((F.col("span_start") < F.col("window_end")) & (F.col("span_end") > F.col("window_start"))))
-    touching = met.where("span_start is not null").groupBy(by, "window_start", "window_end").agg(
+    met = overlaps(w.select(by, "window_start", "window_end").distinct(), spans.select(by, "span_start", "span_end", "kind"), by, "window_start", "window_end")
+    touching = met.groupBy(by, "window_start", "window_end").agg(
         F.array_sort(F.collect_list(F.struct("span_start", "span_end", "kind"))).alias("spans")
     )
     kind = "struct<at:int,out:array<struct<kind:string,a:int,b:int>>>"
@@ -92,10 +110,6 @@ def segments(windows: DataFrame, spans: DataFrame, by: str) -> DataFrame:
     return out.select(by, "window_start", "window_end", "seq", F.col("p.kind").alias("kind"), text.alias("segment"))
 
 
-#: Characters from one piece of a text to the next; a piece holds twice as many. Short spans meet small pieces.
-SMALL, PIECE = 1 << 11, 1 << 16
-
-
 def pieces(doc_text: DataFrame, size: int = PIECE) -> DataFrame:
     """doc_id, piece, text: overlapping pieces of each text, cut in one pass. A span of up to size characters lies in one."""
     found = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{0,{2 * size}}})).{{1,{size}}}"), F.lit(1))

@@ -61,6 +61,20 @@ def test_inside_overlapping_ranges(spark):
     assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
 
 
+def test_overlaps_in_buckets(spark):
+    """Each pair once, whatever buckets it touches; empty windows and spans as the comparison has them."""
+    rng = random.Random(8)
+
+    def some(n, longest):
+        return [(d, i, a, a + rng.randint(0, longest)) for d in range(3) for i, a in enumerate(rng.randint(0, 200) for _ in range(n))]
+
+    windows, ranges = some(25, 60), some(40, 30)
+    got = spans.overlaps(spark.createDataFrame(windows, "k int, w int, lo int, hi int"), spark.createDataFrame(ranges, "k int, s int, span_start int, span_end int"), "k", "lo", "hi", size=16)
+    rows = [(r["k"], r["w"], r["s"]) for r in got.collect()]
+    want = {(d, w, s) for d, w, lo, hi in windows for e, s, a, b in ranges if d == e and a < hi and b > lo}
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def test_spans_meet_the_smallest_piece_that_holds_them(spark):
     text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(1000))
     asked = [(1, a, b) for a, b in ((0, 3), (5, 30), (39, 41), (100, 300), (0, 1000), (990, 1000), (999, 2000), (1200, 1300), (30, 5000))]
