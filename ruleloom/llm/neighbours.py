@@ -121,7 +121,10 @@ def _blocks(rows: DataFrame, of: list[str], size: int, name: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest rows found for each row whose id is divisible by every, nearest first."""
+    """(query_id, rank, id, score): the k nearest rows found for each row whose id is divisible by every, nearest first.
+
+    A block of vectors is one row, so callers bound Arrow batches by bytes, as common.small_batches() does.
+    """
     kind, spark = df.schema[id_col].dataType.simpleString(), df.sparkSession
     rows = usable(df, id_col, vec_col)
     by_id = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
