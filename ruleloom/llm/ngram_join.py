@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import broadcast_if_small, join_one, scratch
+from ruleloom.llm.common import BROADCAST_BYTES, broadcast_if_small, join_one, scratch
 from ruleloom.llm.components import components
 from ruleloom.llm.text_arrays import encoded, mix, word_hashes
 
@@ -332,12 +332,12 @@ class _Join:
         limit = F.floor((num + den) * (F.col("n") - F.col("pos") + 1) / num) - F.col("n")
         band = F.floor(F.log("n") / F.log(F.lit(den / num)))
         large = self.tokens.where("large").select("token", "node", "n", limit.alias("limit"), band.alias("band"))
-        sizes = large.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("limit").alias("hi"))
+        sizes = scratch(large.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("limit").alias("hi")), "sizes")
         # linked sets lie in one band or in neighbours; one more on each side allows for rounded logarithms
-        near = sizes.select("token", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"), F.struct("lo", "hi").alias("x"))
-        near = scratch(near.groupBy("token", "band").agg(F.collect_list("x").alias("near")), "near")
-        met = large.join(broadcast_if_small(near, 128), ["token", "band"])
-        return met.where(F.exists("near", lambda x: (F.col("limit") >= x["lo"]) & (F.col("n") <= x["hi"]))).select("token", "node")
+        near = sizes.select("token", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"), "lo", "hi")
+        near = F.broadcast(near) if sizes.count() * 5 * 64 <= BROADCAST_BYTES else near
+        fits = (large["token"] == near["token"]) & (large["band"] == near["band"]) & (large["limit"] >= near["lo"]) & (large["n"] <= near["hi"])
+        return large.join(near, fits, "left_semi").select("token", "node")
 
     def open_sets(self, roots: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """The sets of large buckets that hold several components: set, n, sig, fold, tokens (of such buckets), root."""
