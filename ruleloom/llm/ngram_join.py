@@ -392,24 +392,27 @@ class _Join:
         met = a.join(b, ["key", "tile"]).where(F.expr(f"root_a <> root_b and {_sizes(num, den)} and {_near(num, den)}"))
         return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
-    def links(self) -> DataFrame:
-        """Links between sets that make all their components."""
+    def roots(self) -> DataFrame:
+        """(id, root) of linked sets, as components() gives them; made anew only where a step has found more links."""
         links = self.verified(self.set_pairs())
+        roots = components(links)
         if self.tokens.where("large").isEmpty():
-            return links
-        open_ = self.open_sets(components(links))
+            return roots
+        open_ = self.open_sets(roots)
         if open_.isEmpty():
-            return links
+            return roots
         made = self.made(open_.select("set"))
         for k in range(ROUNDS):
             more = self.verified(self.hub_pairs(open_, k), made)
             if more.isEmpty():
                 break
             links = links.unionByName(more)
-            open_ = self.open_sets(components(links), open_)
+            roots = components(links)
+            open_ = self.open_sets(roots, open_)
             if open_.isEmpty():
-                return links
-        return links.unionByName(self.verified(self.part_pairs(open_, made), made))
+                return roots
+        more = self.verified(self.part_pairs(open_, made), made)
+        return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,7 +430,7 @@ def _components(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     crowded = _crowded_cells(rows.select("_text"), n, CELLS)
     described = _described(rows, kind, n, num, den, crowded).withColumn("key", F.xxhash64("n", "prefix"))
     described = scratch(described, "described")
-    roots = components(_Join(rows, described, n, num, den).links()).withColumnRenamed("id", "set")
+    roots = _Join(rows, described, n, num, den).roots().withColumnRenamed("id", "set")
     docs = described.select("_id", "hash", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     docs = scratch(docs, "rooted")
     full = docs.where("n > 0")
