@@ -228,6 +228,18 @@ def _recurring(often: DataFrame):
     return keep
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots, as components() gives them, after further links; these count between the components that they join."""
+    known = broadcast_if_small(roots, 64)
+    for end in ("a", "b"):
+        own = known.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+        links = links.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    new = scratch(components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "new-roots")
+    up = broadcast_if_small(new, 64).select(F.col("id").alias("root"), F.col("root").alias("up"))
+    old = roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    return scratch(old.unionByName(new), "roots")
+
+
 class _Join:
     def __init__(self, rows: DataFrame, described: DataFrame, n: int, num: int, den: int) -> None:
         self.rows, self.described, self.n, self.num, self.den = rows, described.where("n > 0"), n, num, den
@@ -394,8 +406,7 @@ class _Join:
 
     def roots(self) -> DataFrame:
         """(id, root) of linked sets, as components() gives them; made anew only where a step has found more links."""
-        links = self.verified(self.set_pairs())
-        roots = components(links)
+        roots = components(self.verified(self.set_pairs()))
         if self.tokens.where("large").isEmpty():
             return roots
         open_ = self.open_sets(roots)
@@ -406,13 +417,12 @@ class _Join:
             more = self.verified(self.hub_pairs(open_, k), made)
             if more.isEmpty():
                 break
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = _joined(roots, more)
             open_ = self.open_sets(roots, open_)
             if open_.isEmpty():
                 return roots
         more = self.verified(self.part_pairs(open_, made), made)
-        return roots if more.isEmpty() else components(links.unionByName(more))
+        return roots if more.isEmpty() else _joined(roots, more)
 
 
 def ngram_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
