@@ -10,6 +10,7 @@ from ruleloom.operators import model as M
 from ruleloom.operators import spans as P
 from ruleloom.operators import structure as S
 from ruleloom.plans.analysis import Analysis
+from ruleloom.session import written
 from ruleloom.sources import markup, sinks
 
 AGENCY = "DEPARTMENT OF ENERGY Federal Energy Regulatory Commission"
@@ -29,7 +30,13 @@ def a(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("p") / "projected")
     markup.project(df).write.parquet(path)
     meta = df.select("doc_id", "agency", F.array().cast("array<string>").alias("agencies"), F.lit("final").alias("status"), F.lit(datetime.date(2024, 1, 31)).alias("publication_date"), F.lit(None).cast("date").alias("effective_on"))
-    return Analysis(meta, spark.read.parquet(path))
+    return Analysis(meta, spark.read.parquet(path), store=written)
+
+
+@pytest.fixture(scope="module")
+def lazy(a):
+    """The same without written stages: one plan from the projected documents on."""
+    return Analysis(a.meta, a.projected)
 
 
 def got(df, *columns):
@@ -64,8 +71,9 @@ def test_unknown_agencies_have_text_only(a):
     assert a.edits.where("doc_id <> 'rich'").isEmpty() and a.blocks.where("doc_id = 'other'").isEmpty()
 
 
-def test_edits_stay_in_their_region(a):
+def test_edits_stay_in_their_region(a, lazy):
     e = sorted(got(a.edits, "span_start", "kind", "text"))
+    assert sorted(got(lazy.edits, "span_start", "kind", "text")) == e and sorted(got(lazy.blocks, "section_id", "paragraph_number")) == sorted(got(a.blocks, "section_id", "paragraph_number"))
     assert [x[1:] for x in e] == [("deletion", "shall"), ("addition", "may"), ("deletion", "inner"), ("addition", "see")]
 
 

@@ -7,7 +7,7 @@ from ruleloom.plans.registry import ORACLE_SQL, QUERIES
 from tests.util import SF, database, rows
 
 #: The analysis queries share their stages; these are compared here, all of them by the driver.
-CHOSEN = [q for q in QUERIES if QUERIES[q].__module__.endswith(("table_queries", "topic_queries"))] + ["funnel", "before_after", "briefing", "compliance_deadlines"]
+CHOSEN = [q for q in QUERIES if QUERIES[q].__module__.endswith(("table_queries", "topic_queries", "flow_queries"))] + ["competing_claims", "verify_long_text", "chunked_projection", "funnel", "before_after", "briefing", "compliance_deadlines"]
 
 
 @pytest.fixture(scope="module")
