@@ -88,16 +88,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
 HOT = 10_000
 
 
-def join_one(df: DataFrame, keyed: DataFrame, key: str, count: str, row_bytes: int) -> DataFrame:
+def join_one(df: DataFrame, keyed: DataFrame, key: str, count: str, row_bytes: int, broadcast: int | None = None) -> DataFrame:
     """df with the row of keyed for its key (inner); keyed, a written table, has one row a key and its rows in df.
 
     A small table is broadcast whole. Else hot keys are: as their rows add up to df's at most, so many rows of keyed
-    hold them that they fit BROADCAST_BYTES. Their rows in df stay where they are and no task gets a hot key's rows.
+    hold them that they fit the bound, BROADCAST_BYTES unless broadcast states another. Their rows in df stay where they
+    are and no task gets a hot key's rows.
     """
     n, total = keyed.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
-    if n * row_bytes <= BROADCAST_BYTES:
+    broadcast = broadcast or BROADCAST_BYTES
+    if n * row_bytes <= broadcast:
         return df.join(F.broadcast(keyed), key)
-    most = max(HOT, total * row_bytes // BROADCAST_BYTES)
+    most = max(HOT, total * row_bytes // broadcast)
     hot = keyed.where(F.col(count) > most)
     rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(count) <= most), key)
     return df.join(F.broadcast(hot), key).unionByName(rest)

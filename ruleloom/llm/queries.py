@@ -68,7 +68,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return dedup(documents(spark, sf_dir), min_words=PASSAGE_WORDS, unit="line")
+    return dedup(documents(spark, sf_dir), min_words=PASSAGE_WORDS, unit="line", passage_words=PASSAGE_WORDS)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

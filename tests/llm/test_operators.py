@@ -569,6 +569,54 @@ def test_substring_dedup_by_lines(spark):
     assert all(c["n_removed"] == 0 for c in collected(queries.dedup(df.where("doc_id in (60, 61)"))))
 
 
+def brute_words(all_, least, gone):
+    """Places of the words to remove: those of later copies of windows of words that haven't all gone with whole lines."""
+    seen, out = {}, {}
+    for i in sorted(all_):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", all_[i] or "")]
+        words = [re.sub("[A-Z]", lambda m: m.group().lower(), all_[i][a:b]) for a, b in at]
+        lost = {k for k, (a, b) in enumerate(at) if any(x <= a and b <= y for x, y in gone[i])}
+        new = set()
+        for k in range(len(at) - least + 1):
+            if not lost.issuperset(range(k, k + least)):
+                of, upto = seen.setdefault(tuple(words[k : k + least]), (i, k + least))
+                if (of, upto) != (i, k + least):
+                    new |= {x for x in range(k, k + least) if of != i or x >= upto}
+        out[i] = {at[k] for k in lost | new}
+    return out
+
+
+def test_substring_dedup_inside_lines(spark):
+    """A copied passage goes wherever it begins and ends in longer lines, and across lines; shorter repeats stay."""
+    rng = random.Random(5)
+    pool = [long_text(k, 90) for k in range(6)]
+    cut = lambda: " ".join(rng.choice(pool).split()[rng.randint(0, 30) :][: rng.randint(20, 60)])
+    all_ = {i: "".join(rng.choice(["\n", " ", "  ", " "]) + (cut() if rng.random() < 0.4 else long_text(1000 + 40 * i + k, rng.randint(1, 40))) for k in range(rng.randint(0, 12))) for i in range(60)}
+    all_ |= {60: None, 61: " \n", 62: all_[3].upper(), 63: "go on " * 60, 64: f"{pool[0]}\n{pool[1]}", 65: f"{pool[0]}\n{pool[1]}", 66: f"x {pool[0]} {pool[1]} y"}
+    df = table(spark, [all_[i] for i in range(len(all_))])
+    for least, inside in ((50, 50), (50, 7), (10, 1)):
+        lines = {r["doc_id"]: r for r in collected(substring_dedup.dedup(df, min_words=least, unit="line"))}
+        out = {r["doc_id"]: r for r in collected(substring_dedup.dedup(df, min_words=least, unit="line", passage_words=inside))}
+        want = brute_words(all_, inside, {i: [(s["start"], s["end"]) for s in r["removed"]] for i, r in lines.items()})
+        for i, r in out.items():
+            text = all_[i] or ""
+            words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+            got = [(s["start"], s["end"]) for s in r["removed"]]
+            assert {w for w in words if any(a <= w[0] and w[1] <= b for a, b in got)} == want[i] and r["n_removed"] == len(got)
+            assert r["kept_text"].split() == [text[a:b] for a, b in words if (a, b) not in want[i]] and got == sorted(got)
+        assert sum(r["n_removed"] > lines[i]["n_removed"] for i, r in out.items()) > 5
+    assert out[66]["kept_text"].split() == ["x", "y"]
+
+
+def test_registered_substring_dedup_finds_passages_inside_lines(spark, tmp_path):
+    """Of texts that share 52 words amid a line the first stays; 40 shared words stay."""
+    shared, short = long_text(3, 52), long_text(4, 40)
+    texts = [f"{long_text(50 + i, 30)} {(shared, short)[i % 2]} {long_text(70 + i, 30)}" for i in range(8)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in collected(queries.op9_substring_dedup(spark, str(tmp_path)))}
+    assert {i: [texts[i][s["start"] : s["end"]] for s in r["removed"]] for i, r in out.items()} == {i: [shared] if i in (2, 4, 6) else [] for i in range(8)}
+
+
 def test_exact_dedup(docs, texts):
     normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in texts]
     groups = collections.defaultdict(list)
