@@ -617,6 +617,17 @@ def test_registered_substring_dedup_finds_passages_inside_lines(spark, tmp_path)
     assert {i: [texts[i][s["start"] : s["end"]] for s in r["removed"]] for i, r in out.items()} == {i: [shared] if i in (2, 4, 6) else [] for i in range(8)}
 
 
+def test_substring_dedup_without_broadcasts(spark, docs, texts, monkeypatch):
+    """Null ids, repeated rows and joins that shuffle both sides: the same spans, and one row per row."""
+    ask = lambda: sorted(str(r) for r in substring_dedup.dedup(docs, min_words=50, unit="line", passage_words=20).collect())
+    want = ask()
+    assert len(want) == len(texts) and sum("n_removed=0" not in r for r in want) > 3
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(substring_dedup, "WINDOW_BYTES", 1)
+    assert ask() == want
+
+
 def test_exact_dedup(docs, texts):
     normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in texts]
     groups = collections.defaultdict(list)
