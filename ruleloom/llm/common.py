@@ -84,6 +84,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows with arrays or binaries, whose bytes are added up, are broadcast up to so many: the driver holds them several times.
+WIDE_BYTES = 8 << 20
+
+
+def broadcast_if_narrow(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Marks df, a written table, for broadcast if its rows' bytes, added up here, fit WIDE_BYTES."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= WIDE_BYTES else df
+
+
 #: A key of more rows is hot, unless a larger bound is needed to keep hot keys few.
 HOT = 10_000
 

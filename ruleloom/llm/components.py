@@ -1,8 +1,10 @@
 """Connected components by alternating stars; no step needs more than a node's smallest neighbour.
 
-Each round joins every edge with its node's smallest neighbour. Where there are few edges, that table is broadcast; else
-hubs are joined apart, so that no task gets a hub's whole neighbourhood. The rounds needed grow with the logarithm of the longest path, so MOST_ROUNDS is out of
-reach; it turns a fault into an error instead of an endless loop.
+Each round joins every edge with its node's smallest neighbour. Where there are few edges, that table is broadcast and equal
+edges stay, so a round takes two shuffles; else equal edges become one, and hubs are joined apart, so that no task gets a
+hub's whole neighbourhood. Rounds end as soon as every node is a root or has its root as its only neighbour. The rounds needed
+grow with the logarithm of the longest path, so MOST_ROUNDS is out of reach; it turns a fault into an error instead of an
+endless loop.
 """
 
 from __future__ import annotations
@@ -17,39 +19,25 @@ MOST_ROUNDS = 60
 NODE_BYTES = 64
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def _met(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """Edges with the row of least (a, m, degree) of their node a; n: the edges' number, so there are at most 2 n nodes."""
-    if 2 * n * NODE_BYTES <= BROADCAST_BYTES:
-        return edges.join(F.broadcast(least), "a")
-    return join_one(edges, scratch(least, "least"), "a", "degree", NODE_BYTES)
-
-
 def components(links: DataFrame) -> DataFrame:
     """links: a, b of any ordered type. (id, root): the smallest id that each linked id reaches; roots themselves are left out."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = scratch(edges, "links")
-    before = _state(edges)
+    edges = scratch(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    few = 2 * edges.count() * NODE_BYTES <= BROADCAST_BYTES  # no round has more edges, which have at most twice as many nodes
+
+    def met(edges: DataFrame, least: DataFrame) -> DataFrame:
+        return edges.join(F.broadcast(least), "a") if few else join_one(edges, least, "a", "degree", NODE_BYTES)
+
     for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
-        # large star: each node's larger neighbours go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
-        large = _met(both, least, before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("most"), F.count("*").alias("degree"))
+        least = scratch(least, "least")
+        if not least.where("m < a and m < most").count():  # nodes with a smaller neighbour and another one
+            return least.where("m < a").select(F.col("a").alias("id"), F.col("m").alias("root"))
+        # large star: each node's larger neighbours go to its smallest neighbour
+        large = met(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch(large if few else large.distinct(), "large-star")
         # small star: each node and its smaller neighbours go to the smallest of these
-        large = scratch(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        met = _met(large, least, before[0])  # a large star has no more edges
-        small = met.select("a", F.col("m").alias("b")).unionByName(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = scratch(small.distinct(), "small-star")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        small = met(large, least if few else scratch(least, "least")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = scratch(small if few else small.distinct(), "small-star")
+    raise RuntimeError("components did not settle")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, broadcast_if_small, join_one, scratch
+from ruleloom.llm.common import BROADCAST_BYTES, broadcast_if_narrow, broadcast_if_small, join_one, scratch
 from ruleloom.llm.components import components
 from ruleloom.llm.text_arrays import encoded, mix, word_hashes
 
@@ -234,7 +234,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         own = known.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
         links = links.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    new = scratch(components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "new-roots")
+    new = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     up = broadcast_if_small(new, 64).select(F.col("id").alias("root"), F.col("root").alias("up"))
     old = roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
     return scratch(old.unionByName(new), "roots")
@@ -285,23 +285,27 @@ class _Join:
 
     def set_pairs(self) -> DataFrame:
         """Pairs of sets that may reach the threshold, of group pairs and within groups."""
-        pairs = self.group_pairs()
-        a, b = _side(self.groups, "a", "node", "n", "members"), _side(self.groups, "b", "node", "n", "members")
-        met = pairs.join(a, "node_a").join(b, "node_b")
-        within = a.where("size(members_a) > 1").join(_side(self.groups.where("size(members) > 1"), "b", "node", "n", "members"), F.expr("node_a = node_b"))
-        names = ["n_a", "n_b", "members_a", "members_b"]
-        met = met.select(*names).unionByName(within.select(*names)).select("n_a", "n_b", F.explode("members_a").alias("x"), "members_b")
-        met = met.select("n_a", "n_b", "x", F.explode("members_b").alias("y")).where("x.set <> y.set")
+        pairs, groups = scratch(self.group_pairs(), "group-pairs"), self.groups.select("node", "n", "members")
+        if pairs.count() * 2 * 24 <= BROADCAST_BYTES:
+            ends = pairs.select(F.col("node_a").alias("node")).unionByName(pairs.select(F.col("node_b").alias("node")))
+            groups = scratch(groups.join(F.broadcast(ends), "node", "left_semi"), "paired")
+            groups = broadcast_if_narrow(groups, F.lit(64) + F.aggregate("members", F.lit(0), lambda z, m: z + 96 + 8 * F.size(m["sig"])))
+        met = pairs.join(_side(groups, "a", "node", "n", "members"), "node_a").join(_side(groups, "b", "node", "n", "members"), "node_b")
+        met = met.select("n_a", "n_b", "members_a", "members_b", F.lit(False).alias("own"))
+        own = self.groups.where("size(members) > 1").selectExpr("n as n_a", "n as n_b", "members as members_a", "members as members_b", "true as own")
+        met = met.unionByName(own).select("n_a", "n_b", F.explode("members_a").alias("x"), "members_b", "own")
+        met = met.select("n_a", "n_b", "x", F.explode("members_b").alias("y"), "own").where("if(own, x.set < y.set, x.set <> y.set)")
         met = met.selectExpr("n_a", "n_b", "x.set as set_a", "y.set as set_b", "x.sig as sig_a", "y.sig as sig_b", "x.fold as fold_a", "y.fold as fold_b").where(_near(self.num, self.den))
-        return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+        # a set is in one group only and group pairs are distinct, so no pair comes twice
+        return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
 
     def made(self, sets: DataFrame) -> DataFrame:
-        """set, s: the shingles of sets (a written table), made anew from the text of one document each."""
+        """set, s: the shingles of sets (read from a written table; they may repeat), made anew from the text of one document each."""
         n = self.n
-        found = self.described.select("set", "_id").join(broadcast_if_small(sets, 48), "set")
+        found = self.described.select("set", "_id").join(broadcast_if_small(sets, 48), "set", "left_semi")
         wanted = scratch(found.groupBy("set").agg(F.min("_id").alias("_id")), "found")
-        ids = broadcast_if_small(scratch(wanted.select("_id").distinct(), "ids"), 32)
-        texts = self.rows.join(ids.withColumnRenamed("_id", "_want"), F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
+        ids = broadcast_if_small(wanted.select(F.col("_id").alias("_want")), 32)
+        texts = self.rows.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
 
         def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -315,9 +319,13 @@ class _Join:
         """The pairs that reach the threshold; made has their sets' shingles, if they are there already."""
         num, den = self.num, self.den
         pairs = scratch(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-        wanted = scratch(wanted, "wanted")
-        made = self.made(wanted) if made is None else made.join(broadcast_if_small(wanted, 48), "set", "left_semi")
+        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+        few = 2 * pairs.count() * 48 <= BROADCAST_BYTES
+        wanted = wanted if few else scratch(wanted.distinct(), "wanted")
+        made = self.made(wanted) if made is None else made
+        # few and short sets go to the pairs; else both are shuffled, without sets that no pair has
+        sent = broadcast_if_narrow(made, F.length("s") + 64)
+        made = made.join(broadcast_if_small(wanted, 48), "set", "left_semi") if sent is made else sent
 
         @F.pandas_udf("boolean")
         def reach(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -353,15 +361,19 @@ class _Join:
 
     def open_sets(self, roots: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """The sets of large buckets that hold several components: set, n, sig, fold, tokens (of such buckets), root."""
-        roots = roots.withColumnRenamed("id", "set")
+        roots = broadcast_if_small(roots.withColumnRenamed("id", "set"), 64)
         if before is None:
-            large = self.live().groupBy("node").agg(F.collect_list("token").alias("tokens"))
+            large = scratch(self.live().groupBy("node").agg(F.collect_list("token").alias("tokens")), "live")
+            large = broadcast_if_narrow(large, F.lit(64) + 8 * F.size("tokens"))
             members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
             before = large.join(members, "node")
         met = before.select("set", "n", "sig", "fold", "tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
         met = scratch(met, "in-large")
         token = met.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         token = scratch(token.where("lo <> hi").select("token"), "open-buckets")
+        if token.count() <= SENT:
+            met = met.withColumn("tokens", F.transform(_recurring(token)(F.col("tokens")), lambda p: F.element_at("tokens", p)))
+            return scratch(met.where("size(tokens) > 0"), "open")
         held = met.select("set", F.explode("tokens").alias("token")).join(broadcast_if_small(token, 24), "token")
         held = held.groupBy("set").agg(F.collect_list("token").alias("tokens"))
         return scratch(met.drop("tokens").join(held, "set"), "open")
@@ -391,12 +403,14 @@ class _Join:
                     sizes = list(map(len, keys))
                     yield pd.DataFrame({c: some[c].to_numpy().repeat(sizes) for c in ("set", "n", "root")} | {"key": np.concatenate(keys)})
 
-        parts = scratch(open_.select("set", "n", "root").join(made, "set").mapInPandas(deal, "set binary, n int, root binary, key long"), "parts")
+        known = broadcast_if_small(open_.select("set", "n", "root"), 96)
+        parts = scratch(made.join(known, "set").mapInPandas(deal, "set binary, n int, root binary, key long"), "parts")
         held = parts.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("most"), F.count("*").alias("k"), F.sum("c").alias("c"))
         held = held.where("k > 1").select("key", "most", F.ceil(F.col("c") / TILE).alias("tiles"))
         held = broadcast_if_small(scratch(held, "open-parts"), 72)
         # only rows whose part agrees with one of another component's set get their signatures, for the join's condition
-        met = scratch(parts.join(held, "key").join(open_.select("set", "sig", "fold"), "set"), "met-in-parts")
+        forms = broadcast_if_narrow(open_.select("set", "sig", "fold"), F.lit(128) + 8 * F.size("sig"))
+        met = scratch(parts.join(held, "key").join(forms, "set"), "met-in-parts")
         a, b = (met.select("key", "tiles", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "root", "sig", "fold", "most")]) for s in "ab")
         # a crowded part is dealt into tiles, which the rows of smaller components visit one by one
         a = a.where("root_a <> most_a").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")

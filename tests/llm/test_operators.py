@@ -16,6 +16,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from ruleloom.llm import common, exact_dedup, fingerprints, lm, mixing, ngram_join, packing, quality, queries, sharding, substring_dedup, text_arrays, token_counts
+from ruleloom.llm import components as component_steps
 from ruleloom.llm.components import components
 from tests.llm.cases import empty, long_text, odd, table
 
@@ -217,6 +218,39 @@ def test_components(spark):
     assert {x: got.get(x, x) for x in root} == root
 
 
+def test_components_end_with_settled_stars(spark, monkeypatch):
+    """Stars take no round and a tree of two levels takes one; no further round only finds that nothing changes."""
+    written, scratch = [], component_steps.scratch
+    monkeypatch.setattr(component_steps, "scratch", lambda df, name: written.append(name) or scratch(df, name))
+    for edges, rounds in (([(1, i) for i in range(2, 9)] * 2, 0), ([(1, 2), (1, 3), (2, 4), (2, 5), (3, 6)], 1), ([], 0), ([(3, 3)], 0)):
+        written.clear()
+        got = components(spark.createDataFrame(edges, "a int, b int")).collect()
+        assert sorted(map(tuple, got)) == sorted({(x, 1) for e in edges for x in e if x > 1 and e[0] != e[1]})
+        assert written.count("large-star") == rounds
+
+
+@pytest.mark.parametrize("most", [0, 1 << 10, 64 << 20])
+def test_ngram_join_broadcasts_or_shuffles_alike(spark, monkeypatch, most):
+    """Whether tables are small enough for a broadcast or not, the same links are found."""
+    for module in (common, component_steps, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", max(64, most))
+    monkeypatch.setattr(common, "WIDE_BYTES", most)
+    for name, value in (("LARGE", 3), ("CROWDED", 6), ("GROUP", 2), ("HUBS", 1), ("SENT", most)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, base, all_ = random.Random(6), long_text(11, 90).split(), []
+    for k in range(40):
+        w = base[:]
+        for _ in range(k % 5):
+            w[rng.randrange(90)] = f"e{k}"
+        all_.append(" ".join(w))
+    body = [f"c{i}" for i in range(120)]
+    all_ += [" ".join([*body[: rng.randint(100, 120)], *(f"own{d % 20}x{i}" for i in range(rng.randint(0, 12)))]) for d in range(40)]
+    all_ += all_[:5] + [f"{long_text(17, 40)} {long_text(100 + k, 12)}" for k in range(20)]
+    got = ngram_join.ngram_components(table(spark, all_), 3, 90, 100)
+    want = brute_components([(i, t, None) for i, t in enumerate(all_)], 3, 90, 100)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+
+
 def test_quality(spark, docs):
     good = [long_text(k, 80 + k) for k in range(300)]
     bad = [" ".join(w.upper() + "!!" for w in t.split()) for t in good[:60]]
