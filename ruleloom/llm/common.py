@@ -54,6 +54,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that one file of a written table takes, where their number is bounded beforehand.
+FILE_ROWS = 1 << 16
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df with a partition for each FILE_ROWS rows, or for each core, instead of those that the session deals; never more.
+
+    rows bounds the rows that df's last step takes; callers count wide ones several times. Written to a local folder, each
+    partition costs several processes (Hadoop's chmod), more than the rows of a small table do; and while one
+    starts, it counts as large as its executor.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes the tables that scratch() wrote in this process, and gives their number.
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, broadcast_if_narrow, broadcast_if_small, join_one, scratch
+from ruleloom.llm.common import BROADCAST_BYTES, broadcast_if_narrow, broadcast_if_small, few_files, join_one, scratch
 from ruleloom.llm.components import components
 from ruleloom.llm.text_arrays import encoded, mix, word_hashes
 
@@ -56,6 +56,8 @@ WORDS = 16
 FOLDED = 4  # words of its short form
 #: A block's counts are added up in so many parts first.
 PARTS = 16
+#: A row with signatures or shingles, or work on one, counts as so many narrow rows of a file.
+WIDE, WIDER = 16, 64
 
 
 def shingles(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -243,21 +245,22 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, rows: DataFrame, described: DataFrame, n: int, num: int, den: int) -> None:
         self.rows, self.described, self.n, self.num, self.den = rows, described.where("n > 0"), n, num, den
+        self.docs, shingled = self.described.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
         # a row whose key no other has is a group by itself and doesn't shuffle; equal sets fall together in collect_set
-        several = scratch(self.described.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "several")
+        several = scratch(few_files(self.described.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), self.docs), "several")
         several = broadcast_if_small(several, 32)
         met = self.described.join(several, "key")
         crowd = met.select("key", "set").distinct().groupBy("key").agg(F.count("*").alias("k")).where(f"k > {2 * GROUP}")
-        dealt = met.join(broadcast_if_small(scratch(crowd, "crowd"), 32), "key", "left")
+        dealt = met.join(broadcast_if_small(scratch(few_files(crowd, self.docs), "crowd"), 32), "key", "left")
         deal = F.coalesce(F.pmod(F.xxhash64("set"), F.ceil(F.col("k") / GROUP)), F.lit(0))
         groups = dealt.groupBy("key", "n", "prefix", deal.alias("deal")).agg(F.collect_set(F.struct("set", "sig", "fold")).alias("members"))
-        groups = scratch(groups.select("n", "prefix", "members"), "groups")
+        groups = scratch(few_files(groups.select("n", "prefix", "members"), WIDE * self.docs), "groups")
         alone = self.described.join(several, "key", "left_anti").select("n", "prefix", F.array(F.struct("set", "sig", "fold")).alias("members"))
         # a collision of node numbers only adds pairs, which are verified on the sets
         node = F.xxhash64(F.array_min(F.transform("members", lambda m: m["set"])))
         self.groups = alone.unionByName(groups).select(node.alias("node"), "n", "prefix", "members")
         every = self.groups.select(F.explode("prefix").alias("token"))
-        often = scratch(every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "often")
+        often = scratch(few_files(every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), shingled), "often")
         groups = self.groups.select("node", "n", "prefix", F.when(F.size("members") == 1, F.col("members")[0]["fold"]).alias("fold"))
         large = broadcast_if_small(scratch(often.where(f"c > {LARGE}").select("token", F.lit(True).alias("large")), "large"), 72)
         if often.count() <= SENT:
@@ -268,6 +271,7 @@ class _Join:
             tokens = every.withColumn("pos", F.col("pos") + 1).join(often.select("token"), "token", "left_semi")
         tokens = tokens.join(large, "token", "left").withColumn("large", F.coalesce("large", F.lit(False)))
         self.tokens = scratch(tokens.select("token", "pos", "node", "n", "fold", "large"), "tokens")
+        self.places = self.tokens.count()
 
     def group_pairs(self) -> DataFrame:
         """Pairs of groups (node_a < node_b): all in small buckets; in large ones each with a hub of about its size."""
@@ -285,10 +289,11 @@ class _Join:
 
     def set_pairs(self) -> DataFrame:
         """Pairs of sets that may reach the threshold, of group pairs and within groups."""
-        pairs, groups = scratch(self.group_pairs(), "group-pairs"), self.groups.select("node", "n", "members")
-        if pairs.count() * 2 * 24 <= BROADCAST_BYTES:
+        pairs, groups = scratch(few_files(self.group_pairs(), WIDE * self.places), "group-pairs"), self.groups.select("node", "n", "members")
+        few = 2 * pairs.count()
+        if few * 24 <= BROADCAST_BYTES:
             ends = pairs.select(F.col("node_a").alias("node")).unionByName(pairs.select(F.col("node_b").alias("node")))
-            groups = scratch(groups.join(F.broadcast(ends), "node", "left_semi"), "paired")
+            groups = scratch(few_files(groups.join(F.broadcast(ends), "node", "left_semi"), WIDE * few), "paired")
             groups = broadcast_if_narrow(groups, F.lit(64) + F.aggregate("members", F.lit(0), lambda z, m: z + 96 + 8 * F.size(m["sig"])))
         met = pairs.join(_side(groups, "a", "node", "n", "members"), "node_a").join(_side(groups, "b", "node", "n", "members"), "node_b")
         met = met.select("n_a", "n_b", "members_a", "members_b", F.lit(False).alias("own"))
@@ -303,7 +308,7 @@ class _Join:
         """set, s: the shingles of sets (read from a written table; they may repeat), made anew from the text of one document each."""
         n = self.n
         found = self.described.select("set", "_id").join(broadcast_if_small(sets, 48), "set", "left_semi")
-        wanted = scratch(found.groupBy("set").agg(F.min("_id").alias("_id")), "found")
+        wanted = scratch(few_files(found.groupBy("set").agg(F.min("_id").alias("_id")), self.docs), "found")
         ids = broadcast_if_small(wanted.select(F.col("_id").alias("_want")), 32)
         texts = self.rows.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi").select("_text")
 
@@ -313,14 +318,15 @@ class _Join:
                 yield pd.DataFrame({"set": [_digest(s) for s in found], "s": [s.tobytes() for s in found]})
 
         made = texts.mapInPandas(make, "set binary, s binary").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
-        return scratch(made, "made")
+        return scratch(few_files(made, WIDER * wanted.count()), "made")
 
     def verified(self, pairs: DataFrame, made: DataFrame | None = None) -> DataFrame:
         """The pairs that reach the threshold; made has their sets' shingles, if they are there already."""
         num, den = self.num, self.den
         pairs = scratch(pairs, "pairs")
+        count = pairs.count()
         wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
-        few = 2 * pairs.count() * 48 <= BROADCAST_BYTES
+        few = 2 * count * 48 <= BROADCAST_BYTES
         wanted = wanted if few else scratch(wanted.distinct(), "wanted")
         made = self.made(wanted) if made is None else made
         # few and short sets go to the pairs; else both are shuffled, without sets that no pair has
@@ -340,7 +346,7 @@ class _Join:
         met = pairs.join(made.select(F.col("set").alias("a"), F.col("s").alias("s_a")), "a").join(
             made.select(F.col("set").alias("b"), F.col("s").alias("s_b")), "b"
         )
-        return scratch(met.where(reach("s_a", "s_b")).select("a", "b"), "verified")
+        return scratch(few_files(met.where(reach("s_a", "s_b")).select("a", "b"), WIDE * count), "verified")
 
     def live(self) -> DataFrame:
         """The rows of large buckets that some row there may link with, by sizes and places.
@@ -352,7 +358,7 @@ class _Join:
         limit = F.floor((num + den) * (F.col("n") - F.col("pos") + 1) / num) - F.col("n")
         band = F.floor(F.log("n") / F.log(F.lit(den / num)))
         large = self.tokens.where("large").select("token", "node", "n", limit.alias("limit"), band.alias("band"))
-        sizes = scratch(large.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("limit").alias("hi")), "sizes")
+        sizes = scratch(few_files(large.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("limit").alias("hi")), self.places), "sizes")
         # linked sets lie in one band or in neighbours; one more on each side allows for rounded logarithms
         near = sizes.select("token", F.explode(F.array(*[F.col("band") + i for i in range(-2, 3)])).alias("band"), "lo", "hi")
         near = F.broadcast(near) if sizes.count() * 5 * 64 <= BROADCAST_BYTES else near
@@ -363,14 +369,14 @@ class _Join:
         """The sets of large buckets that hold several components: set, n, sig, fold, tokens (of such buckets), root."""
         roots = broadcast_if_small(roots.withColumnRenamed("id", "set"), 64)
         if before is None:
-            large = scratch(self.live().groupBy("node").agg(F.collect_list("token").alias("tokens")), "live")
+            large = scratch(few_files(self.live().groupBy("node").agg(F.collect_list("token").alias("tokens")), 4 * self.places), "live")
             large = broadcast_if_narrow(large, F.lit(64) + 8 * F.size("tokens"))
             members = self.groups.select("node", "n", F.explode("members").alias("m")).selectExpr("node", "n", "m.set as set", "m.sig as sig", "m.fold as fold")
             before = large.join(members, "node")
         met = before.select("set", "n", "sig", "fold", "tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        met = scratch(met, "in-large")
+        met = scratch(few_files(met, WIDE * self.docs), "in-large")
         token = met.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        token = scratch(token.where("lo <> hi").select("token"), "open-buckets")
+        token = scratch(few_files(token.where("lo <> hi").select("token"), 4 * self.places), "open-buckets")
         if token.count() <= SENT:
             met = met.withColumn("tokens", F.transform(_recurring(token)(F.col("tokens")), lambda p: F.element_at("tokens", p)))
             return scratch(met.where("size(tokens) > 0"), "open")
@@ -407,16 +413,17 @@ class _Join:
         parts = scratch(made.join(known, "set").mapInPandas(deal, "set binary, n int, root binary, key long"), "parts")
         held = parts.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("most"), F.count("*").alias("k"), F.sum("c").alias("c"))
         held = held.where("k > 1").select("key", "most", F.ceil(F.col("c") / TILE).alias("tiles"))
-        held = broadcast_if_small(scratch(held, "open-parts"), 72)
+        held = broadcast_if_small(scratch(few_files(held, parts.count()), "open-parts"), 72)
         # only rows whose part agrees with one of another component's set get their signatures, for the join's condition
         forms = broadcast_if_narrow(open_.select("set", "sig", "fold"), F.lit(128) + 8 * F.size("sig"))
         met = scratch(parts.join(held, "key").join(forms, "set"), "met-in-parts")
+        count = met.count()
         a, b = (met.select("key", "tiles", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "root", "sig", "fold", "most")]) for s in "ab")
         # a crowded part is dealt into tiles, which the rows of smaller components visit one by one
         a = a.where("root_a <> most_a").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
         b = b.withColumn("tile", F.pmod(F.xxhash64("set_b", F.lit(5)), F.col("tiles"))).drop("tiles")
         met = a.join(b, ["key", "tile"]).where(F.expr(f"root_a <> root_b and {_sizes(num, den)} and {_near(num, den)}"))
-        return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+        return few_files(met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct(), WIDE * count)
 
     def roots(self) -> DataFrame:
         """(id, root) of linked sets, as components() gives them; made anew only where a step has found more links."""
@@ -428,7 +435,7 @@ class _Join:
             return roots
         made = self.made(open_.select("set"))
         for k in range(ROUNDS):
-            more = self.verified(self.hub_pairs(open_, k), made)
+            more = self.verified(few_files(self.hub_pairs(open_, k), 3 * HUBS * open_.count()), made)
             if more.isEmpty():
                 break
             roots = _joined(roots, more)
@@ -455,11 +462,12 @@ def _components(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     described = _described(rows, kind, n, num, den, crowded).withColumn("key", F.xxhash64("n", "prefix"))
     described = scratch(described, "described")
     roots = _Join(rows, described, n, num, den).roots().withColumnRenamed("id", "set")
+    count = described.count()
     docs = described.select("_id", "hash", "n", "set").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    docs = scratch(docs, "rooted")
+    docs = scratch(few_files(docs, 4 * count), "rooted")
     full = docs.where("n > 0")
     least = full.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "set", "hash")).alias("least"), F.count("*").alias("size"))
-    met = join_one(full, scratch(least, "least"), "root", "size", 96).select(
+    met = join_one(full, scratch(few_files(least, 4 * count), "least"), "root", "size", 96).select(
         F.col("_id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.col("least._id").alias("component_id"),

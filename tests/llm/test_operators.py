@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -251,6 +252,30 @@ def test_ngram_join_broadcasts_or_shuffles_alike(spark, monkeypatch, most):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
 
 
+def test_ngram_join_writes_small_tables_in_few_files(spark, monkeypatch):
+    """However many partitions the session deals, small tables get no more files than there are cores."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for name, value in (("LARGE", 4), ("CROWDED", 6), ("GROUP", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(common, "_WRITTEN", [])
+    base = long_text(11, 60)
+    all_ = [f"{base} e{k}" for k in range(60)] + [f"{long_text(3 + k, 50)} {base} {long_text(5 + k, 10)}" for k in range(60)]
+    all_ += [f"{long_text(100 + k // 2, 70)}{' end' * (k % 2)}" for k in range(200)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ngram_join.ngram_components(table(spark, all_), 3, 90, 100).collect()
+        files = {re.search("ruleloom-([a-z-]+)-", path)[1]: len(list(Path(path.removeprefix("file:")).glob("part-*.parquet"))) for path in common._WRITTEN}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = brute_components([(i, t, None) for i, t in enumerate(all_)], 3, 90, 100)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert {"often", "group-pairs", "pairs", "verified", "least", "rooted"} <= set(files)
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 def test_quality(spark, docs):
     good = [long_text(k, 80 + k) for k in range(300)]
     bad = [" ".join(w.upper() + "!!" for w in t.split()) for t in good[:60]]
