@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,12 @@ def drop_scratch(spark: SparkSession) -> int:
     return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in paths)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], fields: dict[str, pa.DataType]) -> DataFrame:
+    """A small table of rows that the driver has. As Arrow it starts no Python worker; a list of rows would, with a daemon of its own on each executor."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields.items(), columns, strict=True)}))
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 

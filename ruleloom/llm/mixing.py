@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ruleloom.llm.common import WORD, scratch, text_or_empty
+from ruleloom.llm.common import WORD, local_table, scratch, text_or_empty
 
 MOST_REPEATS = 3
 #: The network is solved on the driver, so its size is checked.
@@ -136,7 +137,7 @@ def mix(
         for r, f in zip(found, flow, strict=True)
     ]
     spark = df.sparkSession
-    plan_df = F.broadcast(spark.createDataFrame(plan, "_pattern string, source_size long, target double, whole long, rest long"))
+    plan_df = F.broadcast(local_table(spark, plan, {"_pattern": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int64(), "rest": pa.int64()}))
     # the slice in which a pattern's rest runs out, and the words before it
     by_slice = rows.groupBy("_pattern", "_slice").agg(F.sum("size").alias("n")).join(plan_df, "_pattern")
     upto = Window.partitionBy("_pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -145,7 +146,7 @@ def mix(
         .where((F.col("upto") - F.col("n") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
         .select("_pattern", F.col("_slice").alias("_border"), (F.col("rest") - F.col("upto") + F.col("n")).alias("_left"))
     )
-    border = spark.createDataFrame(border.limit(MAX_PATTERNS).collect(), "_pattern string, _border int, _left long")
+    border = local_table(spark, border.limit(MAX_PATTERNS).collect(), {"_pattern": pa.string(), "_border": pa.int32(), "_left": pa.int64()})
     rows = rows.join(plan_df, "_pattern").join(F.broadcast(border), "_pattern", "left")
     outside = rows.where(F.col("_border").isNull() | (F.col("_slice") != F.col("_border")))
     outside = outside.withColumn("_more", F.when(F.col("_slice") < F.col("_border"), F.col("size")).otherwise(0))

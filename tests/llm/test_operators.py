@@ -276,6 +276,18 @@ def test_ngram_join_writes_small_tables_in_few_files(spark, monkeypatch):
     assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
 
 
+def test_mixing_plans_without_python_workers(spark, docs):
+    """The small tables of a plan come from the driver as Arrow, not through Python workers; empty ones, too."""
+    for df in (docs, empty(spark)):
+        rdd, before = [], spark.sparkContext.parallelize
+        spark.sparkContext.parallelize = lambda *a, **b: rdd.append(a) or before(*a, **b)  # noqa: B023
+        try:
+            mixing.apply_mix(df).collect()
+        finally:
+            del spark.sparkContext.parallelize
+        assert not rdd
+
+
 def test_quality(spark, docs):
     good = [long_text(k, 80 + k) for k in range(300)]
     bad = [" ".join(w.upper() + "!!" for w in t.split()) for t in good[:60]]
