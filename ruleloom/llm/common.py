@@ -63,9 +63,8 @@ FILE_ROWS = 1 << 16
 def few_files(df: DataFrame, rows: int) -> DataFrame:
     """df with a partition for each FILE_ROWS rows, or for each core, instead of those that the session deals; never more.
 
-    rows bounds the rows that df's last step takes; callers count wide ones several times. Written to a local folder, each
-    partition costs several processes (Hadoop's chmod), more than the rows of a small table do; and while one
-    starts, it counts as large as its executor.
+    rows bounds the rows that df's last step takes; callers count wide ones several times. A file costs more than the rows
+    of a small table do: in a local folder, without Hadoop's native library, processes are started for it.
     """
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
 
