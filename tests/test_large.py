@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ruleloom.functions import vocabulary as V
 from ruleloom.operators import citations, redline, rules, spans
 from ruleloom.operators import structure as S
-from ruleloom.plans import topic_queries
+from ruleloom.plans import dense_queries, topic_queries
+from ruleloom.plans.analysis import Analysis, InBlocks
+from ruleloom.session import written
+from ruleloom.sources import markup
+from tests.test_documents import AGENCY, RICH
 from tests.util import SF, one
 
 
@@ -86,3 +90,58 @@ def test_section_tree_is_that_of_a_stack(spark, seed):
 
 def test_documents_of_a_small_table_come_in_many_parts(spark):
     assert topic_queries.documents(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def in_blocks(spark, texts):
+    rows = [(d, k, t[k * spans.PIECE : (k + 1) * spans.PIECE]) for d, t in texts.items() for k in range(-(-len(t) // spans.PIECE))]
+    return spark.createDataFrame(rows, "doc_id int, piece int, text string")
+
+
+def test_spans_get_their_text_from_blocks(spark):
+    """Short and long ones, across blocks, at the text's end, and longer than any two blocks."""
+    rng, n = random.Random(5), 5 * spans.PIECE + 77
+    texts = {1: "".join(chr(97 + rng.randrange(26)) for _ in range(n)), 2: "short"}
+    asked = [(1, a, min(n, a + rng.choice([0, 3, 500, 5000, 70_000, 200_000]))) for a in (rng.randrange(n) for _ in range(150))]
+    asked += [(1, k * spans.PIECE + a, k * spans.PIECE + b) for k in (1, 2) for a, b in ((-1, 1), (-3, 0), (0, 2), (-spans.PIECE, spans.PIECE))] + [(1, 0, n), (1, n - 1, n), (2, 1, 3), (2, 0, 5)]
+    got = spans.texts_of(spark.createDataFrame(sorted(set(asked)), "doc_id int, span_start int, span_end int"), in_blocks(spark, texts)).collect()
+    assert len(got) == len(set(asked)) and all(r["text"] == texts[r["doc_id"]][r["span_start"] : r["span_end"]] for r in got)
+
+
+def test_marks_and_brackets_in_blocks(spark):
+    """The legend and a statement across the ends of blocks, pairs with ends in two blocks, and what lies outside the region."""
+    c, legend = V.CONVENTIONS[0], "Deletions are in brackets and additions are in italics"
+    head = "[no] " + "x" * (spans.PIECE - 20) + " " + legend + ". [a] [[b] open [ "
+    first = head + "y" * (2 * spans.PIECE - len(head) - 4) + "[far" + "z" * spans.PIECE + "] "
+    text = first + " " * (4 * spans.PIECE - len(first) - 6) + "A, ROE, Commissioner, concurring: [late]"
+    texts = {1: text, 2: "no legend [x]", 3: legend + " [cut"}
+    bodies = spark.createDataFrame([(d, 0, len(t)) for d, t in texts.items()], "doc_id int, body_start int, body_end int")
+    whole = redline.regions(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), bodies, c)
+    blocks = in_blocks(spark, texts)
+    r = redline.regions_in_blocks(blocks, bodies, c)
+    assert sorted(map(tuple, r.collect())) == sorted(map(tuple, whole.drop("text").collect()))
+    start = {x["doc_id"]: x["region_start"] for x in r.collect()}
+    got = redline.brackets_in_blocks(blocks, r).collect()
+    want = [(x["doc_id"], x["at"] + start[x["doc_id"]], len(x["inner"]) + 2) for x in redline.bracket_spans(whole).collect()]
+    assert sorted((x["doc_id"], x["at"], x["to"] - x["at"]) for x in got if x["closed"]) == sorted(want) and len(want) == 3
+    assert sum(not x["closed"] for x in got) == 3
+
+
+def test_analysis_in_blocks_is_that_of_whole_documents(spark):
+    long = RICH.replace("<P>Within.</P>", "<P>Within.</P>" + "<P>Filler goes on [so].</P>" * 6000)
+    docs = spark.createDataFrame([("rich", RICH), ("long", long)], "doc_id string, xml string")
+    meta = docs.select("doc_id", F.lit(AGENCY).alias("agency"), F.array().cast("array<string>").alias("agencies"))
+    a = Analysis(meta, written(markup.project(docs), "projected"), store=written)
+    blocks, parts, _ = markup.project_chunks(docs.withColumn("chunk", F.lit(0)))
+    b = InBlocks(meta, blocks, store=written, parts=parts)
+    for name in ("sections", "paragraphs", "edits", "blocks", "classified"):
+        x, y = getattr(a, name), getattr(b, name)
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.select(x.columns).collect())), name
+    d = redline.diagnostics(a.regions, a.italics, S.footnotes(a.own_elements))
+    assert sorted(map(str, d.collect())) == sorted(map(str, b.diagnostics.select(d.columns).collect()))
+
+
+@pytest.mark.parametrize("make", [dense_queries.noticed, dense_queries.orders_book, lambda s, d: dense_queries.ledgers(s, d)[0]])
+def test_no_document_of_a_whole_table_is_a_row(spark, make):
+    made = make(spark, SF.replace("sf0.001", "sf0.01"))
+    held = made.doc_text if isinstance(made, InBlocks) else made
+    assert held.agg(F.max(F.length("text"))).first()[0] <= spans.PIECE and held.groupBy("doc_id").count().agg(F.max("count")).first()[0] > 1
